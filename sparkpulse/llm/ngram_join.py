@@ -143,6 +143,8 @@ def signatures(sets: list[np.ndarray], ks: list[int], sch: Schemes) -> tuple[np.
     of = np.repeat(np.arange(len(sets)), m)
     local = np.arange(int(base[-1])) - base[of]
     sig = mix((lo + (hi << U(32))) ^ mix(np.array(ks, np.uint64)[of] * U(1 << 32) + local.astype(np.uint64)))
+    odd = (np.array(ks, np.uint64)[of] & U(1)) << U(16)  # which of a set's two schemes it is, kept in the name
+    sig = (sig & ~U(1 << 16)) | odd
     empty = np.bincount(of[~full], minlength=len(sets))
     return sig[full], of[full], empty
 
@@ -308,14 +310,13 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     edges = materialise(edges.unionByName(_verified(rest, sets, sch)), "ngram-edges")
     comp = components(edges)
 
-    # Crowded buckets hold several components still.
-    lab = _labelled(met.select("sig", "row"), comp)
+    # Crowded buckets hold several components still, beside their first document, with which all others were compared.
+    lab = _labelled(met.where("row <> first").select("sig", "row"), comp)
     crowded = lab.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
     few = spark.createDataFrame([(k, sch.spare(k)[1]) for k in range(len(sch.starts) - 1)], "k int, crowded_spare int")
-    size = sets.select("row", "size")
-    # Which of its two schemes a signature belongs to isn't kept: a document is hard in both if it may be in one.
-    unmet = met.join(crowded, "sig").groupBy("row").agg(F.count("*").alias("unmet")).join(size, "row")
-    unmet = unmet.select("row", "unmet", F.explode(_bands("size", sch)).alias("k")).join(F.broadcast(few), "k").where("unmet > crowded_spare")  # one row per band
+    unmet = met.where("row <> first").join(crowded, "sig").groupBy("row", F.pmod("sig", F.lit(2)).cast("int").alias("odd")).agg(F.count("*").alias("unmet"))
+    unmet = unmet.join(sets.select("row", "size"), "row").select("row", "odd", "unmet", F.explode(_bands("size", sch)).alias("k")).where("k % 2 = odd")
+    unmet = unmet.join(F.broadcast(few), "k").where("unmet > crowded_spare")  # few: one row per band
     hard = materialise(hard_empty.unionByName(unmet.select("k", "row")).distinct(), "ngram-hard")
     edges = _last_phase(hard, sets, edges, comp, sch)
     if edges is not None:
