@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROP = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe svg math canvas object embed audio video dialog menu title".split())
@@ -33,6 +35,12 @@ NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|co
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
+#: References that are sent to every executor at most, in bytes of html; beyond, pages and references are shuffled by host.
+BROADCAST_BYTES = 32 << 20
+SALTS = 16
+#: Hosts whose parsed references a worker remembers.
+HOSTS = 100
+
 
 class Node:
     __slots__ = ("tag", "noise", "kids", "text", "shape", "size", "template")
@@ -223,8 +231,10 @@ def extract(source: str | None, references: list[str], state: dict | None = None
     state = {} if state is None else state
     matcher: Matcher = state.setdefault("matcher", Matcher())
     if len(matcher.shapes) > 20_000 or len(matcher.weights) > 200_000:
+        known = state.get("known")
         state.clear()
-        matcher = state["matcher"] = Matcher()
+        state["known"], state["matcher"] = known, Matcher()
+        matcher = state["matcher"]
     page = tree(source)
     shapes(page, matcher.shapes)
     constant: list[list[Node]] = []
@@ -270,16 +280,26 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
     picks = ends.select("host", F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("h"))
     refs = h.join(picks, ["host", "h"], "left_semi").groupBy("host", "h").agg(F.min("html").alias("html")).groupBy("host").agg(F.sort_array(F.collect_list(F.coalesce("html", F.lit("")))).alias("refs"))
 
+    refs = materialise(refs, "wrapper-references")
+    small = refs.agg(F.sum(F.aggregate("refs", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, state = None, {}
+        states: dict[str, dict] = {}
         for b in batches:
             out = []
             for name, source, ref in zip(b.column("host").to_pylist(), b.column("html"), b.column("refs"), strict=True):
-                if name != host:
-                    host, state = name, {}
-                    known = ref.as_py() or []
-                out.append(extract(source.as_py(), known, state))
+                if name not in states:
+                    if len(states) >= HOSTS:
+                        states.clear()
+                    states[name] = {"known": ref.as_py() or []}
+                state = states[name]
+                out.append(extract(source.as_py(), state["known"], state))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(p.dtypes)
-    return p.join(refs, "host", "left").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    if small <= BROADCAST_BYTES:
+        p = p.join(F.broadcast(refs), "host", "left")
+    else:  # a host's pages are dealt to SALTS tasks
+        salted = refs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    return p.select("page_id", "url", "html", "host", "refs").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
