@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkpulse.functions.arrays import corr
+
 from . import intervals as I
 from .series import KEY
 
@@ -38,7 +40,7 @@ def recall_precision(regions: DataFrame, clips: DataFrame, width: float = 600.0)
 
 def pointbiserial(df: DataFrame, flag: str, value: str, keys: list[str] | None = None) -> DataFrame:
     """n, r, t and two-sided p of a 0/1 flag against a value; null unless over 10 rows and over 5 in each class."""
-    g = df.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.sum(flag).cast("long").alias("ones"), F.corr(flag, value).alias("r0"))
+    g = df.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.sum(flag).cast("long").alias("ones"), corr(F.col(flag).cast("double"), F.col(value).cast("double")).alias("r0"))
     ok = (F.col("n") > 10) & (F.col("ones") > 5) & (F.col("n") - F.col("ones") > 5)
     v = F.col("n") - 2
     g = g.withColumn("r", F.when(ok, F.col("r0"))).withColumn("t", F.col("r") * F.sqrt(v / (1 - F.col("r") ** 2)))

@@ -55,11 +55,11 @@ def best_split(series: DataFrame, *, value: str = "frequency", min_seg: int = 5)
     up = Window.partitionBy(KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy(KEY)
     v = F.col(value)
-    d = series.select(KEY, F.row_number().over(Window.partitionBy(KEY).orderBy("bin")).alias("k"), F.count("*").over(all_).alias("n"), F.sum(v).over(up).alias("s"), F.sum(v * v).over(up).alias("q"), F.sum(v).over(all_).alias("S"), F.sum(v * v).over(all_).alias("Q"))
+    d = series.select(KEY, F.row_number().over(Window.partitionBy(KEY).orderBy("bin")).alias("k"), F.count("*").over(all_).alias("n"), F.sum(v).over(up).alias("s"), F.sum(v * v).over(up).alias("q"), F.sum(v).over(all_).alias("s_all"), F.sum(v * v).over(all_).alias("q_all"))
     d = d.where((F.col("k") >= min_seg) & (F.col("k") < F.col("n") - min_seg))
     r = F.col("n") - F.col("k")
-    d = d.withColumn("m1", F.col("s") / F.col("k")).withColumn("m2", (F.col("S") - F.col("s")) / r)
-    d = d.withColumn("p", (F.col("k") * (F.col("q") / F.col("k") - F.col("m1") ** 2) + r * ((F.col("Q") - F.col("q")) / r - F.col("m2") ** 2)) / (F.col("n") - 2)).where("p > 1e-12")
+    d = d.withColumn("m1", F.col("s") / F.col("k")).withColumn("m2", (F.col("s_all") - F.col("s")) / r)
+    d = d.withColumn("p", (F.col("k") * (F.col("q") / F.col("k") - F.col("m1") ** 2) + r * ((F.col("q_all") - F.col("q")) / r - F.col("m2") ** 2)) / (F.col("n") - 2)).where("p > 1e-12")
     d = d.withColumn("t", F.abs(F.col("m1") - F.col("m2")) / F.sqrt(F.col("p") * (1 / F.col("k") + 1 / r)))
     return d.groupBy(KEY).agg(F.max_by("k", F.struct(F.round("t", 9), F.negative("k"))).alias("k"), F.max("t").alias("t"))
 

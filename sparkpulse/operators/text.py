@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkpulse.functions.arrays import bind
+
 from .series import KEY
 
 
@@ -17,8 +19,11 @@ def tokens(c: Column) -> Column:
 
 
 def ngrams(toks: Column, n: int = 3) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(toks) - (n - 1))), lambda i: F.array_join(F.slice(toks, i, n), " "))
-    return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
+    def grams(t: Column) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - (n - 1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, all_).otherwise(F.array().cast("array<string>"))
+
+    return bind(toks, grams)
 
 
 def is_speech(c: Column) -> Column:
