@@ -76,14 +76,15 @@ class Model:
         self.tables = []
         for k in self.langs:
             nxt = automaton(folded[k])
-            root = np.zeros(self.width, np.int32)
+            dead = len(nxt)  # after a symbol that the sample lacks, which is a phrase of its own
+            root = np.full(self.width, dead, np.int32)
             for c, s in nxt[0].items():
                 root[code[c]] = s
-            table = np.tile(2 * root + 1, (len(nxt), 1))
+            table = np.tile(2 * root + 1, (len(nxt) + 1, 1))
             for i, row in enumerate(nxt):
                 for c, s in row.items():
                     table[i, code[c]] = 2 * s
-            table[0, :] = 2 * root + (root == 0)
+            table[0, :] = 2 * root
             self.tables.append(table.reshape(-1))
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:

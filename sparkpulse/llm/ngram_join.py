@@ -41,7 +41,8 @@ _blank = np.zeros(256, bool)
 _blank[[9, 10, 11, 12, 13, 32]] = True
 #: Ids that are sent to every executor at most; beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
-SLICE = 1000
+#: Documents whose signatures are packed together, and whose sets are cut at once: bounds of a worker's memory.
+BATCH, SLICE = 3000, 400
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -179,8 +180,9 @@ def _index(docs: DataFrame, sch: Schemes, buckets: int, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 10_000):
-                yield from one(whole.slice(at, 10_000))
+            for at in range(0, whole.num_rows, BATCH):
+                yield from one(whole.slice(at, BATCH))
+                pa.default_memory_pool().release_unused()
 
     def out(kind: int, a, b, c, blob=None) -> pa.RecordBatch:
         size = len(a)
@@ -286,7 +288,7 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     sch = Schemes(num, den)
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     count = d.count()
-    index = materialise(_index(d.select("row", "text"), sch, min(65_000, max(64, count // 4000)), n), "ngram-index")
+    index = materialise(_index(d.select("row", "text"), sch, min(65_000, max(64, count // 2000)), n), "ngram-index")
     info = index.where("kind = 3").select(F.col("a").alias("row"), _long("blob").alias("n_shingles"), "b", "c")
     reps = info.where("n_shingles > 0").groupBy("b", "c", "n_shingles").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
     same = info.where("n_shingles > 0").join(reps.where("copies > 1"), ["b", "c", "n_shingles"]).select("row", "rep")

@@ -121,11 +121,12 @@ def base_failed(n_words: Column, n_repeat: Column) -> Column:
     return (n_words < 10) | (100 * n_repeat > 20 * n_words)
 
 
-def verdicts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", min_chars: int = 200, min_words: int = 50, max_class: float = 0.22, max_word: float = 0.45, **reference) -> DataFrame:
+def verdicts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", min_chars: int = 200, min_words: int = 50, max_class: float = 0.15, max_word: float = 0.45, max_symbols: float = 0.02, **reference) -> DataFrame:
     """doc_id, base counts, distances, base_failed and kept of every document."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     f = materialise(features(d), "quality")
-    f = distances(f, references(f, **reference))
+    typical = f.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")) & (F.col("n_symbols") <= max_symbols * F.col("word_chars")))
+    f = distances(f, references(typical, **reference))
     diverges = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(diverges, F.lit(False))).alias("kept"), "class_distance", "word_distance")
