@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release, shared_dir
 from .components import components
 
 U = np.uint64
@@ -288,7 +288,9 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     sch = Schemes(num, den)
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     count = d.count()
-    index = materialise(_index(d.select("row", "text"), sch, min(65_000, max(64, count // 2000)), n), "ngram-index")
+    path = shared_dir(spark, "ngram-index")
+    _index(d.select("row", "text"), sch, min(65_000, max(64, count // 2000)), n).write.partitionBy("kind").parquet(path)
+    index = spark.read.schema("a long, b long, c long, blob binary, kind int").parquet(path)
     info = index.where("kind = 3").select(F.col("a").alias("row"), _long("blob").alias("n_shingles"), "b", "c")
     reps = info.where("n_shingles > 0").groupBy("b", "c", "n_shingles").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
     same = info.where("n_shingles > 0").join(reps.where("copies > 1"), ["b", "c", "n_shingles"]).select("row", "rep")
@@ -299,18 +301,22 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     met = to_rep(met).distinct()
     first = met.groupBy("sig").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = materialise(met.join(first, "sig"), "ngram-met")
+    del first
+    release(spark, f"{path}/kind=0", f"{path}/kind=1")  # the packed signatures are done with
     hard_empty = materialise(to_rep(index.where("kind = 2").select(F.col("a").cast("int").alias("k"), F.col("b").alias("row"))).distinct(), "ngram-empty")
 
     wanted = materialise(met.select("row").unionByName(hard_empty.select("row")).distinct(), "ngram-wanted")
     sets = materialise(_sets(d.select("row", "text"), wanted, n), "ngram-sets")
 
     pairs = materialise(met.where("row <> first").groupBy(F.col("first").alias("a"), F.col("row").alias("b")).agg(F.count("*").alias("times")), "ngram-pairs")
+    release(spark)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", F.negative("a"))).alias("a")).select("a", "b")
     edges = materialise(_verified(best, sets, sch), "ngram-edges")
     comp = components(edges)
     rest = _apart(pairs.select("a", "b"), comp).join(best, ["a", "b"], "left_anti")
     edges = materialise(edges.unionByName(_verified(rest, sets, sch)), "ngram-edges")
     comp = components(edges)
+    release(spark)
 
     # Crowded buckets hold several components still, beside their first document, with which all others were compared.
     lab = _labelled(met.where("row <> first").select("sig", "row"), comp)
@@ -320,6 +326,8 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     unmet = unmet.join(sets.select("row", "size"), "row").select("row", "odd", "unmet", F.explode(_bands("size", sch)).alias("k")).where("k % 2 = odd")
     unmet = unmet.join(F.broadcast(few), "k").where("unmet > crowded_spare")  # few: one row per band
     hard = materialise(hard_empty.unionByName(unmet.select("k", "row")).distinct(), "ngram-hard")
+    del lab, crowded, unmet
+    release(spark)
     edges = _last_phase(hard, sets, edges, comp, sch)
     if edges is not None:
         comp = components(edges)
@@ -375,6 +383,8 @@ def _last_phase(hard: DataFrame, sets: DataFrame, edges: DataFrame, comp: DataFr
     met = hard.join(sets.select("row", "tokens"), "row").select("k", "row", "tokens").mapInArrow(run, "sig long, row long")
     more = met.groupBy("sig").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("sig")
     met = materialise(met.join(more, "sig"), "ngram-near")
+    del more
+    release(sets.sparkSession)
     found, turn = False, 0
     while True:
         lab = _labelled(met, comp)
@@ -390,4 +400,6 @@ def _last_phase(hard: DataFrame, sets: DataFrame, edges: DataFrame, comp: DataFr
         edges = materialise(edges.unionByName(_verified(_apart(pairs, comp), sets, sch)), "ngram-edges")
         comp = components(edges)
         met = materialise(turns.where(F.col("r") > 2**turn).select("sig", "row"), "ngram-near")
+        del turns, firsts, pairs, lab, more
+        release(sets.sparkSession)
         turn = min(turn + 1, 5)
