@@ -11,7 +11,6 @@ from .common import materialise
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node that it reaches.  Self-loops are dropped."""
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    before = None
     while True:
         # Large star: larger neighbours of a node go to the smallest of it and its neighbours.
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -21,8 +20,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         e = materialise(small, name)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        # Done when all are stars: each child has one parent, and no parent is a child.
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        ends = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        if ends.where((F.col("child") > 1) | (F.col("child") > 0) & (F.col("parent") > 0)).isEmpty():
             break
-        before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -271,13 +271,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, sch: Schemes) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     low, high = sch.num, sch.den
-    s = sets.select("row", "size", "tokens")
+    s = sets.select("row", "size")
     p = pairs.join(s.select(F.col("row").alias("a"), F.col("size").alias("na")), "a").join(s.select(F.col("row").alias("b"), F.col("size").alias("nb")), "b")
     p = p.where((F.col("na") * high >= F.col("nb") * low) & (F.col("nb") * high >= F.col("na") * low)).select("a", "b")
+    p = materialise(p, "ngram-tested")
+    s = _only(sets.select("row", "tokens"), p.select(F.col("a").alias("row")).unionByName(p.select(F.col("b").alias("row"))).distinct())
     p = p.join(s.select(F.col("row").alias("a"), F.col("tokens").alias("ta")), "a").join(s.select(F.col("row").alias("b"), F.col("tokens").alias("tb")), "b")
     return p.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _joined(edges: DataFrame, more: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and components with more edges, which are looked at only if there are any."""
+    more = materialise(more, "ngram-edges")
+    if more.isEmpty():
+        return edges, comp
+    edges = edges.unionByName(more)
+    return edges, components(edges)
+
+
+def _only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of sets that are wanted, found without a shuffle of the sets while the ids are few enough."""
+    w = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return sets.join(w, "row", "left_semi")
+
+
 def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
     return members.join(comp.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
 
@@ -314,8 +331,7 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     edges = materialise(_verified(best, sets, sch), "ngram-edges")
     comp = components(edges)
     rest = _apart(pairs.select("a", "b"), comp).join(best, ["a", "b"], "left_anti")
-    edges = materialise(edges.unionByName(_verified(rest, sets, sch)), "ngram-edges")
-    comp = components(edges)
+    edges, comp = _joined(edges, _verified(rest, sets, sch), comp)
     release(spark)
 
     # Crowded buckets hold several components still, beside their first document, with which all others were compared.
@@ -328,9 +344,7 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     hard = materialise(hard_empty.unionByName(unmet.select("k", "row")).distinct(), "ngram-hard")
     del lab, crowded, unmet
     release(spark)
-    edges = _last_phase(hard, sets, edges, comp, sch)
-    if edges is not None:
-        comp = components(edges)
+    comp = _last_phase(hard, sets, edges, comp, sch)
 
     root = to_rep(info.select("row", F.col("row").alias("own"), "n_shingles"))
     root = _labelled(root.select("row", "own", "n_shingles"), comp).select(F.col("own").alias("row"), "root", "n_shingles")
@@ -352,14 +366,13 @@ def _bands(size: str, sch: Schemes):
 
 def _sets(d: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(row, size, tokens) of the wanted rows."""
-    w = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [ngrams(t.as_py(), n) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["row", "size", "tokens"])
 
-    return d.join(w, "row", "left_semi").mapInArrow(run, "row long, size long, tokens binary")
+    return _only(d, wanted).mapInArrow(run, "row long, size long, tokens binary")
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -369,8 +382,8 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return p.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _last_phase(hard: DataFrame, sets: DataFrame, edges: DataFrame, comp: DataFrame, sch: Schemes) -> DataFrame | None:
-    """More edges: hard documents joined among each other at threshold 1."""
+def _last_phase(hard: DataFrame, sets: DataFrame, edges: DataFrame, comp: DataFrame, sch: Schemes) -> DataFrame:
+    """Components with the edges of hard documents, joined among each other at threshold 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -385,21 +398,19 @@ def _last_phase(hard: DataFrame, sets: DataFrame, edges: DataFrame, comp: DataFr
     met = materialise(met.join(more, "sig"), "ngram-near")
     del more
     release(sets.sparkSession)
-    found, turn = False, 0
+    turn = 0
     while True:
         lab = _labelled(met, comp)
         more = lab.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
         met = materialise(met.join(more, "sig", "left_semi"), "ngram-near")
         if met.isEmpty():
-            return edges if found else None
-        found = True
+            return comp
         # The first documents of each bucket are compared with all others, then leave it.
         turns = met.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("row")))
         firsts = turns.where(F.col("r") <= 2**turn).select("sig", F.col("row").alias("a"))
         pairs = met.join(firsts, "sig").where("a < row").select("a", F.col("row").alias("b")).distinct()
-        edges = materialise(edges.unionByName(_verified(_apart(pairs, comp), sets, sch)), "ngram-edges")
-        comp = components(edges)
+        edges, comp = _joined(edges, _verified(_apart(pairs, comp), sets, sch), comp)
         met = materialise(turns.where(F.col("r") > 2**turn).select("sig", "row"), "ngram-near")
         del turns, firsts, pairs, lab, more
         release(sets.sparkSession)
-        turn = min(turn + 1, 5)
+        turn = min(turn + 1, 7)
