@@ -27,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, release, shared_dir
@@ -262,8 +262,14 @@ def _recurring(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("a").applyInArrow(run, "sig long, row long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, sch: Schemes) -> DataFrame:
-    """Those of pairs (a, b) that link."""
+def _sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their sizes na and nb."""
+    s = sets.select("row", "size")
+    return pairs.join(s.select(F.col("row").alias("a"), F.col("size").alias("na")), "a").join(s.select(F.col("row").alias("b"), F.col("size").alias("nb")), "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, sch: Schemes) -> DataFrame | None:
+    """Those of pairs (a, b, na, nb) that link; None if there are none to test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,22 +277,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, sch: Schemes) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     low, high = sch.num, sch.den
-    s = sets.select("row", "size")
-    p = pairs.join(s.select(F.col("row").alias("a"), F.col("size").alias("na")), "a").join(s.select(F.col("row").alias("b"), F.col("size").alias("nb")), "b")
-    p = p.where((F.col("na") * high >= F.col("nb") * low) & (F.col("nb") * high >= F.col("na") * low)).select("a", "b")
+    p = pairs.where((F.col("na") * high >= F.col("nb") * low) & (F.col("nb") * high >= F.col("na") * low)).select("a", "b").distinct()
     p = materialise(p, "ngram-tested")
+    if p.isEmpty():
+        return None
     s = _only(sets.select("row", "tokens"), p.select(F.col("a").alias("row")).unionByName(p.select(F.col("b").alias("row"))).distinct())
     p = p.join(s.select(F.col("row").alias("a"), F.col("tokens").alias("ta")), "a").join(s.select(F.col("row").alias("b"), F.col("tokens").alias("tb")), "b")
     return p.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _joined(edges: DataFrame, more: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges and components with more edges, which are looked at only if there are any."""
+def _joined(more: DataFrame | None, comp: DataFrame | None, spark: SparkSession) -> DataFrame:
+    """Components with more edges, which are looked at only if there are any; of the edges before, the stars are enough."""
+    none = comp if comp is not None else spark.createDataFrame([], "node long, root long")
+    if more is None:
+        return none
     more = materialise(more, "ngram-edges")
     if more.isEmpty():
-        return edges, comp
-    edges = edges.unionByName(more)
-    return edges, components(edges)
+        return none
+    return components(more if comp is None else more.unionByName(comp.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def _only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -328,10 +336,9 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     pairs = materialise(met.where("row <> first").groupBy(F.col("first").alias("a"), F.col("row").alias("b")).agg(F.count("*").alias("times")), "ngram-pairs")
     release(spark)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", F.negative("a"))).alias("a")).select("a", "b")
-    edges = materialise(_verified(best, sets, sch), "ngram-edges")
-    comp = components(edges)
+    comp = _joined(_verified(_sized(best, sets), sets, sch), None, spark)
     rest = _apart(pairs.select("a", "b"), comp).join(best, ["a", "b"], "left_anti")
-    edges, comp = _joined(edges, _verified(rest, sets, sch), comp)
+    comp = _joined(_verified(_sized(rest, sets), sets, sch), comp, spark)
     release(spark)
 
     # Crowded buckets hold several components still, beside their first document, with which all others were compared.
@@ -344,7 +351,7 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     hard = materialise(hard_empty.unionByName(unmet.select("k", "row")).distinct(), "ngram-hard")
     del lab, crowded, unmet
     release(spark)
-    comp = _last_phase(hard, sets, edges, comp, sch)
+    comp = _last_phase(hard, sets, comp, sch)
 
     root = to_rep(info.select("row", F.col("row").alias("own"), "n_shingles"))
     root = _labelled(root.select("row", "own", "n_shingles"), comp).select(F.col("own").alias("row"), "root", "n_shingles")
@@ -382,7 +389,7 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return p.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _last_phase(hard: DataFrame, sets: DataFrame, edges: DataFrame, comp: DataFrame, sch: Schemes) -> DataFrame:
+def _last_phase(hard: DataFrame, sets: DataFrame, comp: DataFrame, sch: Schemes) -> DataFrame:
     """Components with the edges of hard documents, joined among each other at threshold 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,26 +398,30 @@ def _last_phase(hard: DataFrame, sets: DataFrame, edges: DataFrame, comp: DataFr
                 s = np.frombuffer(tokens.as_buffer(), np.uint64)
                 if k in sch.of(len(s)):
                     sig = neighbourhoods(s, k, sch)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), row, np.int64))], names=["sig", "row"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), row, np.int64)), pa.array(np.full(len(sig), len(s), np.int64))], names=["sig", "row", "size"])
 
-    met = hard.join(sets.select("row", "tokens"), "row").select("k", "row", "tokens").mapInArrow(run, "sig long, row long")
-    more = met.groupBy("sig").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("sig")
-    met = materialise(met.join(more, "sig"), "ngram-near")
-    del more
-    release(sets.sparkSession)
+    spark = sets.sparkSession
+    met = hard.join(sets.select("row", "tokens"), "row").select("k", "row", "tokens").mapInArrow(run, "sig long, row long, size long")
+    # Only buckets of unlike components are looked at, so those of one component aren't written.
+    met = materialise(_unlike(_labelled(met, comp)), "ngram-near")
+    release(spark)
     turn = 0
-    while True:
-        lab = _labelled(met, comp)
-        more = lab.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-        met = materialise(met.join(more, "sig", "left_semi"), "ngram-near")
-        if met.isEmpty():
-            return comp
-        # The first documents of each bucket are compared with all others, then leave it.
-        turns = met.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("row")))
-        firsts = turns.where(F.col("r") <= 2**turn).select("sig", F.col("row").alias("a"))
-        pairs = met.join(firsts, "sig").where("a < row").select("a", F.col("row").alias("b")).distinct()
-        edges, comp = _joined(edges, _verified(_apart(pairs, comp), sets, sch), comp)
-        met = materialise(turns.where(F.col("r") > 2**turn).select("sig", "row"), "ngram-near")
-        del turns, firsts, pairs, lab, more
-        release(sets.sparkSession)
+    while not met.isEmpty():
+        # Some documents of each bucket, the least of each of 2**turn parts, are compared with all others, then leave it.
+        part = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(2**turn))
+        firsts = met.groupBy("sig", part.alias("part")).agg(F.min(F.struct("row", "size", "root")).alias("x")).select("sig", F.col("x.row").alias("f"), F.col("x.size").alias("nf"), F.col("x.root").alias("rf"))
+        firsts = materialise(firsts, "ngram-firsts")
+        pairs = met.join(firsts, "sig").where("root <> rf").select(F.least("f", "row").alias("a"), F.greatest("f", "row").alias("b"), F.when(F.col("f") < F.col("row"), F.col("nf")).otherwise(F.col("size")).alias("na"), F.when(F.col("f") < F.col("row"), F.col("size")).otherwise(F.col("nf")).alias("nb"))
+        comp = _joined(_verified(pairs, sets, sch), comp, spark)
+        rest = met.join(firsts.select("sig", F.col("f").alias("row")), ["sig", "row"], "left_anti").drop("root")
+        met = materialise(_unlike(_labelled(rest, comp)), "ngram-near")
+        del firsts, pairs, rest
+        release(spark)
         turn = min(turn + 1, 7)
+    return comp
+
+
+def _unlike(labelled: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components."""
+    more = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    return labelled.join(more, "sig", "left_semi").select("sig", "row", "size", "root")

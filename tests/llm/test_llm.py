@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkpulse.llm import bpe, language_id, media, mixing, ngram_join, pii, quality, training_order, warc, wrapper
+from sparkpulse.llm import bpe, components, language_id, media, mixing, ngram_join, pii, quality, training_order, warc, wrapper
 from sparkpulse.llm.common import shared_dir
 from sparkpulse.llm.feistel import permute
 from sparkpulse.llm.spans import with_offsets
@@ -215,6 +215,22 @@ def test_op7(spark, empty):
     assert ngram_join.link(empty).count() == 0
 
 
+def test_components_in_chunks(spark, monkeypatch):
+    """Several tasks and rounds: a long path, a star, a clique, random edges, loops and repeats."""
+    monkeypatch.setattr(components, "CHUNK", 12)
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(30)] + [(a, b) for a in range(200, 207) for b in range(200, a)]
+    edges += [(rng.randrange(300, 360), rng.randrange(300, 360)) for _ in range(45)] + [(400, 400), (59, 60)]
+    up = {x: x for e in edges for x in e}
+    for _ in up:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    rng.shuffle(edges)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: r for x, r in up.items() if x in got} and set(up) - set(got) <= {x for a, b in edges if a == b for x in (a,)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
 def test_neighbourhoods_meet():
     """Any pair at the threshold meets at threshold 1, or by prefix tokens."""
     rng, sch = np.random.default_rng(7), ngram_join.Schemes()
