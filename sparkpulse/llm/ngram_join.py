@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, release, shared_dir
+from .common import materialise, release, shared_dir, trim
 from .components import components
 
 U = np.uint64
@@ -182,7 +182,7 @@ def _index(docs: DataFrame, sch: Schemes, buckets: int, n: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 yield from one(whole.slice(at, BATCH))
-                pa.default_memory_pool().release_unused()
+                trim()
 
     def out(kind: int, a, b, c, blob=None) -> pa.RecordBatch:
         size = len(a)
@@ -255,8 +255,10 @@ def _recurring(blobs: DataFrame) -> DataFrame:
         name, row = np.concatenate(names), np.concatenate(rows)
         order = np.argsort(name, kind="stable")
         name, row = name[order], row[order]
+        del names, rows, order
         same = name[1:] == name[:-1]
         again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        trim()
         return pa.table({"sig": pa.array((name[again] | U(bucket << 48)).view(np.int64)), "row": pa.array(row[again])})
 
     return blobs.groupBy("a").applyInArrow(run, "sig long, row long")
@@ -275,6 +277,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, sch: Schemes) -> DataFrame | No
         for b in batches:
             ok = [sch.linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            trim()
 
     low, high = sch.num, sch.den
     p = pairs.where((F.col("na") * high >= F.col("nb") * low) & (F.col("nb") * high >= F.col("na") * low)).select("a", "b").distinct()
@@ -376,8 +379,10 @@ def _sets(d: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [ngrams(t.as_py(), n) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["row", "size", "tokens"])
+            for lo in range(0, b.num_rows, SLICE):
+                sets = [ngrams(t.as_py(), n) for t in b.column(1).slice(lo, SLICE)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, SLICE), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["row", "size", "tokens"])
+            trim()
 
     return _only(d, wanted).mapInArrow(run, "row long, size long, tokens binary")
 
