@@ -11,8 +11,9 @@ meets.  Equal subsets cost one row, neighbourhoods one for each token, so docume
 threshold 1, with about half the segments, and those for which that isn't enough by prefix tokens as well.
 
 Instead of all pairs of a bucket, each of its documents is verified against the bucket's first; groups that are linked in
-the end need no more.  A bucket is crowded if unlike components stay in it.  In the last phase the buckets' documents take
-turns as the first one until no bucket holds two components that weren't compared.
+the end need no more.  A bucket is crowded if unlike components stay in it.  In the last phase one of the
+buckets with the same documents stays, and their documents take turns as the first ones, as many at once as keeps the pairs of a
+turn in proportion to the input, until no bucket holds two components that weren't compared.
 
 Equal sets are one vertex.  Null and empty texts, and texts without words, have no n-grams and link with nothing.  Fewer
 words than n make one n-gram.  Repeated ids are rows of their own.  Other columns are ignored.
@@ -41,6 +42,8 @@ _blank = np.zeros(256, bool)
 _blank[[9, 10, 11, 12, 13, 32]] = True
 #: Ids that are sent to every executor at most; beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Pairs that a turn of the last phase makes at most, for each document of the input (or one for each row of its buckets).
+TURN = 128
 #: Documents whose signatures are packed together, and whose sets are cut at once: bounds of a worker's memory.
 BATCH, SLICE = 3000, 400
 
@@ -354,7 +357,7 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     hard = materialise(hard_empty.unionByName(unmet.select("k", "row")).distinct(), "ngram-hard")
     del lab, crowded, unmet
     release(spark)
-    comp = _last_phase(hard, sets, comp, sch)
+    comp = _last_phase(hard, sets, comp, sch, count)
 
     root = to_rep(info.select("row", F.col("row").alias("own"), "n_shingles"))
     root = _labelled(root.select("row", "own", "n_shingles"), comp).select(F.col("own").alias("row"), "root", "n_shingles")
@@ -394,7 +397,7 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return p.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _last_phase(hard: DataFrame, sets: DataFrame, comp: DataFrame, sch: Schemes) -> DataFrame:
+def _last_phase(hard: DataFrame, sets: DataFrame, comp: DataFrame, sch: Schemes, docs: int) -> DataFrame:
     """Components with the edges of hard documents, joined among each other at threshold 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,23 +413,24 @@ def _last_phase(hard: DataFrame, sets: DataFrame, comp: DataFrame, sch: Schemes)
     # Only buckets of unlike components are looked at, so those of one component aren't written.
     met = materialise(_unlike(_labelled(met, comp)), "ngram-near")
     release(spark)
-    turn = 0
-    while not met.isEmpty():
-        # Some documents of each bucket, the least of each of 2**turn parts, are compared with all others, then leave it.
-        part = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(2**turn))
+    while rows := met.count():
+        # Some documents of each bucket, the least of each of so many parts, are compared with all others, then leave it.
+        parts = 2 ** int(math.log2(max(1, TURN * docs / rows)))
+        part = F.pmod(F.xxhash64("row", F.lit(rows)), F.lit(parts))
         firsts = met.groupBy("sig", part.alias("part")).agg(F.min(F.struct("row", "size", "root")).alias("x")).select("sig", F.col("x.row").alias("f"), F.col("x.size").alias("nf"), F.col("x.root").alias("rf"))
         firsts = materialise(firsts, "ngram-firsts")
         pairs = met.join(firsts, "sig").where("root <> rf").select(F.least("f", "row").alias("a"), F.greatest("f", "row").alias("b"), F.when(F.col("f") < F.col("row"), F.col("nf")).otherwise(F.col("size")).alias("na"), F.when(F.col("f") < F.col("row"), F.col("size")).otherwise(F.col("nf")).alias("nb"))
-        comp = _joined(_verified(pairs, sets, sch), comp, spark)
-        rest = met.join(firsts.select("sig", F.col("f").alias("row")), ["sig", "row"], "left_anti").drop("root")
-        met = materialise(_unlike(_labelled(rest, comp)), "ngram-near")
-        del firsts, pairs, rest
+        before, comp = comp, _joined(_verified(pairs, sets, sch), comp, spark)
+        rest = met.join(firsts.select("sig", F.col("f").alias("row")), ["sig", "row"], "left_anti")
+        met = materialise(_unlike(rest if comp is before else _labelled(rest.drop("root"), comp)), "ngram-near")
+        del firsts, pairs, rest, before
         release(spark)
-        turn = min(turn + 1, 7)
     return comp
 
 
 def _unlike(labelled: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components."""
-    more = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    """Rows of the buckets that hold several components; of buckets with the same documents one is enough."""
+    h = [F.bit_xor(F.xxhash64("row", F.lit(x))).alias(f"h{x}") for x in (1, 2)]
+    more = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), *h).where("lo <> hi")
+    more = more.groupBy("c", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
     return labelled.join(more, "sig", "left_semi").select("sig", "row", "size", "root")
