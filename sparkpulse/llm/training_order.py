@@ -40,10 +40,21 @@ def sequences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", le
 
 
 def place(d: DataFrame, length: int) -> DataFrame:
-    # Positions are worked out from lengths alone; the bytes are read again, not carried through the windows.
-    d = d.withColumn("n", F.octet_length("bytes").cast("long")).withColumn("row", F.monotonically_increasing_id())
-    at = with_offsets(d.select("row", "n"), "n", by=[], order=["row"], out="start")
-    d = d.select("row", "doc_id", "bytes").join(at, "row").withColumn("sequence", F.explode(blocks_of(F.col("start"), F.col("n"), length)))
+    # Totals of the input's partitions are summed up first; each task then counts on within its own, so no bytes are shuffled.
+    d = d.withColumn("n", F.octet_length("bytes").cast("long")).withColumn("part", F.spark_partition_id())
+    base = with_offsets(d.groupBy("part").agg(F.sum("n").alias("n")), "n", by=[], order=["part"], out="base").select("part", "base")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for b in batches:
+            n = b.column("n").to_numpy()
+            start = b.column("base").to_numpy() + at + n.cumsum() - n
+            at += int(n.sum())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("bytes"), b.column("n"), pa.array(start, pa.int64())], names=["doc_id", "bytes", "n", "start"])
+
+    d = d.join(F.broadcast(base), "part").select("doc_id", "bytes", "n", F.col("base").cast("long").alias("base"))  # base: a row for each partition
+    kind = d.schema["doc_id"].dataType.simpleString()
+    d = d.mapInArrow(run, f"doc_id {kind}, bytes binary, n long, start long").withColumn("sequence", F.explode(blocks_of(F.col("start"), F.col("n"), length)))
     a = F.greatest(F.col("start"), F.col("sequence") * length)
     b = F.least(F.col("start") + F.col("n"), (F.col("sequence") + 1) * length)
     return d.select("sequence", (a - F.col("sequence") * length).cast("int").alias("at"), "doc_id", F.substring("bytes", (a - F.col("start") + 1).cast("int"), (b - a).cast("int")).alias("bytes"))
