@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .series import KEY
 
+#: Frames of a block of the similarity matrix, on either side.
+BLOCK = 512
+
 
 def loudness(frames: DataFrame) -> DataFrame:
     """frames (stream_id, frame, rms) with db against the stream's 95th percentile (1 if that is 0)."""
@@ -36,14 +43,58 @@ def zscore(v: Column) -> Column:
 def ncc(template: DataFrame, stream: DataFrame, width: int, hop: int = 1) -> DataFrame:
     """Correlation of each window of template frames with each of the stream's: r, k, ncc, from frames (frame, z).
 
-    Frames are compared once; a window's score is the mean over a diagonal of the similarity matrix.  The template side is
-    short by nature (a clip); the join is on dimension, not on all pairs of vectors held in memory at once."""
-    t = template.select(F.col("frame").alias("r"), F.col("z").alias("zt"))
-    s = stream.select(F.col("frame").alias("k"), F.col("z").alias("zs"))
-    sim = t.join(s).select("r", "k", (F.aggregate(F.zip_with("zt", "zs", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y) / F.size("zt")).alias("s"))
-    w = Window.partitionBy(F.col("k") - F.col("r")).orderBy("r").rowsBetween(0, width - 1)
-    d = sim.select("r", "k", F.avg("s").over(w).alias("ncc"), F.count("*").over(w).alias("n")).where(F.col("n") == width)
-    return d.where(F.col("r") % hop == 0).drop("n")
+    A window's score is the mean over a diagonal of the similarity matrix, which is worked out block by block: neither side need
+    be short.  Frame numbers are unique; windows in which a frame or its vector is missing have no score."""
+    return _blocks(template, stream, width, hop, best=False)
+
+
+def ncc_best_lag(template: DataFrame, stream: DataFrame, width: int, hop: int = 1, least: float = 0.30) -> DataFrame:
+    """best_lag(ncc(...)), where only each block's best of a template window leaves it."""
+    return best_lag(_blocks(template, stream, width, hop, best=True), least)
+
+
+def _blocks(template: DataFrame, stream: DataFrame, width: int, hop: int, best: bool, block: int = BLOCK) -> DataFrame:
+    def cut(d: DataFrame, at: str, rows: str) -> DataFrame:
+        """Blocks of frames; each has the next one's first width - 1 frames too."""
+        own = F.floor((F.col("frame") - (width - 1)) / block), F.floor(F.col("frame") / block)
+        return d.select("frame", F.col("z").cast("array<double>").alias("z"), F.explode(F.sequence(*own)).alias(at)).groupBy(at).agg(F.collect_list(F.struct("frame", "z")).alias(rows))
+
+    def dense(rows: pa.ListScalar, first: int) -> np.ndarray:
+        values = rows.values
+        z, frame = values.field("z"), values.field("frame").to_numpy(zero_copy_only=False)
+        n = z.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        out = np.full((block + width - 1, int(n.max(initial=0))), np.nan)
+        whole = (n == out.shape[1]) & (n > 0)
+        if whole.any():
+            flat = z.filter(pa.array(whole)).flatten().to_numpy(zero_copy_only=False)
+            out[frame[whole] - first] = flat.reshape(-1, out.shape[1])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                r0, k0 = b.column("bt")[i].as_py() * block, b.column("bs")[i].as_py() * block
+                t, s = dense(b.column("t")[i], r0), dense(b.column("s")[i], k0)
+                if not t.shape[1] or t.shape[1] != s.shape[1]:
+                    continue
+                sim = t @ s.T / t.shape[1]
+                score = sum(sim[w : w + block, w : w + block] for w in range(width)) / width
+                x = np.flatnonzero(np.arange(r0, r0 + block) % hop == 0)
+                if best:
+                    score = np.where(np.isnan(score[x]), -np.inf, score[x])
+                    y, top = np.round(score, 9).argmax(axis=1), score.max(axis=1)
+                    there = np.isfinite(top)
+                    x, y, top = x[there], y[there], top[there]
+                    yield pa.RecordBatch.from_arrays([pa.array(x + r0), pa.array(y + k0), pa.array(top)], names=["r", "k", "ncc"])
+                    continue
+                for part in np.array_split(x, max(1, len(x) // 64)):
+                    there = np.isfinite(score[part])
+                    a, y = np.nonzero(there)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[a] + r0), pa.array(y + k0), pa.array(score[part][there])], names=["r", "k", "ncc"])
+
+    tasks = int(template.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = cut(template, "bt", "t").repartition(tasks, "bt").crossJoin(cut(stream, "bs", "s"))
+    return pairs.mapInArrow(run, "r long, k long, ncc double")
 
 
 def best_lag(scores: DataFrame, least: float = 0.30) -> DataFrame:

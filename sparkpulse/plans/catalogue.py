@@ -251,13 +251,13 @@ def classify_merge(spark, d):
 
 @query("WITH " + SPANS + ", " + union_sql("ra", "un") + ' SELECT stream_id, s AS "start", e AS "end" FROM un')
 def interval_union(spark, d):
-    return I.union(spans(spark, d).where("id % 7 = 0"))
+    return I.union(spans(spark, d))
 
 
 @query("WITH " + SPANS + ", rb AS (SELECT * FROM sp WHERE id % 97 = 0) SELECT a.stream_id, a.id, coalesce(sum(least(a.e, b.e) - greatest(a.s, b.s)) FILTER (WHERE b.s IS NOT NULL), 0.0) AS covered FROM rb a LEFT JOIN ra b ON a.stream_id = b.stream_id AND b.s < a.e AND b.e > a.s GROUP BY 1, 2")
 def overlap_seconds(spark, d):
     s = spans(spark, d)
-    return I.overlap(s.where("id % 97 = 0"), s.where("id % 7 = 0"), 120.0).select("stream_id", "id", "covered")
+    return I.overlap_sums(s, s, 120.0).select("stream_id", "id", "covered")
 
 
 @query("WITH RECURSIVE " + CLIPS + " SELECT r.stream_id, r.bin, CAST(max(CASE WHEN c.s IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS flag FROM roll r LEFT JOIN cl c ON c.stream_id = r.stream_id AND c.s < r.time_seconds + 1800 AND c.e > r.time_seconds - 1800 GROUP BY 1, 2")
@@ -432,24 +432,25 @@ def frame_zscore(spark, d):
 NCC = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT *, list_avg(v) AS a, list_stddev_pop(v) AS sd FROM e), z AS (SELECT vec_id AS frame, list_transform(v, lambda x: (x - a) / (sd + 1e-8)) AS z FROM m), s AS (SELECT a.frame AS r, b.frame AS k, list_inner_product(a.z, b.z) / 64 AS s FROM z a, z b WHERE a.frame BETWEEN 100 AND 139), n AS (SELECT r, k, avg(s) OVER w AS ncc, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY k - r ORDER BY r ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)), f AS (SELECT * FROM n WHERE n = 10) "
 
 
-def scores(spark, d):
+def best_lags(spark, d):
     e = z(spark, d)
-    return V.ncc(e.where("frame between 100 and 139"), e, 10)
+    return V.ncc_best_lag(e, e, 10)
 
 
 @query(NCC + "SELECT r, k, round(ncc, 4) AS ncc FROM f")
 def ncc_diagonal(spark, d):
-    return scores(spark, d).select("r", "k", F.round("ncc", 4).alias("ncc"))
+    e = z(spark, d)
+    return V.ncc(e, e, 10).select("r", "k", F.round("ncc", 4).alias("ncc"))
 
 
 @query(NCC + "SELECT r, k, ncc FROM (SELECT r, k, round(ncc, 4) AS ncc, row_number() OVER (PARTITION BY r ORDER BY round(ncc, 9) DESC, k) AS x FROM f) WHERE x = 1 AND ncc >= 0.3")
 def ncc_best_lag(spark, d):
-    return V.best_lag(scores(spark, d)).select("r", "k", F.round("ncc", 4).alias("ncc"))
+    return best_lags(spark, d).select("r", "k", F.round("ncc", 4).alias("ncc"))
 
 
 @query()
 def ncc_clusters(spark, d):
-    m = V.best_lag(scores(spark, d)).select(F.lit("clip").alias("stream_id"), F.col("r").cast("double").alias("start"), (F.col("r") + 10.0).alias("end"), (F.col("k") - F.col("r")).cast("double").alias("offset"))
+    m = best_lags(spark, d).select(F.lit("clip").alias("stream_id"), F.col("r").cast("double").alias("start"), (F.col("r") + 10.0).alias("end"), (F.col("k") - F.col("r")).cast("double").alias("offset"))
     return T.offset_clusters(m, max_shift=6, max_gap=6, least=3, least_cover=8)
 
 

@@ -101,6 +101,48 @@ def test_ncc_finds_the_true_lag(spark):
     assert [(r.r, r.k) for r in best] == [(0, 50)]
 
 
+def test_ncc_in_blocks_equals_brute_force(spark):
+    x = np.random.default_rng(4).normal(size=(70, 6))
+    x[45:57] = x[8:20]
+    z = (x - x.mean(1, keepdims=True)) / (x.std(1, keepdims=True) + 1e-8)
+    there = [i for i in range(70) if i != 33]
+    f = spark.createDataFrame([(i, [float(v) for v in z[i]]) for i in there], "frame long, z array<double>")
+    sim = z @ z.T / 6
+    want = {(r, k): np.mean([sim[r + w, k + w] for w in range(10)]) for r in range(61) for k in range(61) if not {33} & {*range(r, r + 10), *range(k, k + 10)}}
+    got = {(r.r, r.k): r.ncc for r in V._blocks(f, f, 10, 1, best=False, block=16).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    best = {}
+    for (r, k), v in want.items():
+        best[r] = max(best.get(r, (-9, 0)), (round(v, 9), -k))
+    rows = V.best_lag(V._blocks(f, f, 10, 1, best=True, block=16)).collect()
+    assert {(r.r, r.k) for r in rows} == {(r, -k) for r, (v, k) in best.items() if v >= 0.3}
+
+
+def test_overlap_sums_equal_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a" if i % 3 else "b", i, float(s), float(s + n)) for i, (s, n) in enumerate(zip(rng.integers(-50, 400, 200), rng.integers(0, 90, 200)))]
+    d = spark.createDataFrame(rows, "stream_id string, id long, start double, end double")
+    got = {r.id: r.covered for r in I.overlap_sums(d, d, 60.0).collect()}
+    assert got == {i: sum(max(0.0, min(e, f) - max(s, t)) for j, _, t, f in rows if j == k) for k, i, s, e in rows}
+
+
+def test_queries_run_over_whole_tables(spark, tmp_path):
+    import datetime
+
+    import __spark_entry__ as e
+
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(n)
+    spark.createDataFrame([("N", i, day(2 * i)) for i in range(1, 21)], "l_returnflag string, l_orderkey long, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    x = np.random.default_rng(6).normal(size=(30, 8))
+    spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: e.queries()[name](spark, str(tmp_path))
+    assert run("interval_union").count() == 20
+    assert {(r.id, r.covered) for r in run("overlap_seconds").collect()} == {(i, 1.0) for i in range(1, 21)}
+    assert run("ncc_diagonal").count() == 21 * 21
+    assert [(r.r, r.k) for r in run("ncc_best_lag").orderBy("r").collect()] == [(i, i) for i in range(21)]
+    assert run("ncc_clusters").count() == 1
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "s1.tsv").write_text("video_time\tauthor\tmessage\textra\n0:01\t@a\thello\tx\n1:00:05\t@b\twow\ty\n")
     assert sorted((r.stream_id, r.seconds) for r in R.chat_tsv(spark, str(tmp_path / "s1.tsv")).collect()) == [("s1", 1), ("s1", 3605)]
