@@ -3,7 +3,8 @@
 Found values are validated and permuted within their format by a keyed Feistel network, so equal values stay equal across
 documents and stay valid: payment-card numbers (13 to 19 digits, Luhn; the check digit is worked out anew), dates
 (year-month-day, month/day/year, day.month.year; 1800 to 2199), US social security numbers, IPv4 addresses and phone
-numbers with a country code (the code stays).  The network adds round values modulo the two factors of the format's size,
+numbers with a country code (the code stays).  Values that follow one another are told apart: a run of digit groups is searched for
+cards by Luhn and grouping, and a phone number ends before an address or date.  The network adds round values modulo the two factors of the format's size,
 hence it permutes exactly the format's values and no cycle-walking is needed.  E-mail addresses and 40-digit hexadecimal
 secrets get keyed hash pseudonyms of their form.  Digits that don't validate stay as they are.
 
@@ -20,13 +21,20 @@ from .quality import bind
 
 ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)"
+DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![/-]|\.\d|(?!T\d{2}(?!\w)|T\d{2}:?\d{2})\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
-PHONE = r"(?<![\w+])\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,3}(?!\w)"
-CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
+#: North American numbers; then numbers with a bracketed area code and dashes; then any groups, but not the start of an address or a date.
+PHONE = r"(?<![\w+])\+(?:1[ -]?(?:\(\d{3}\)|\d{3})[ -]?\d{3}[ -]?\d{4}(?!\w)|\d{1,3}[ -]?\(\d{2,4}\)[ -]?\d{2,4}(?:-\d{2,4}){1,2}(?!\w|-\d)|\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,3}(?!\w|[./-]\d))"
+#: A run of groups of digits (13 digits at least) up to the next date, number or address of another kind; cards are looked for within it.
+GROUP = r"\d++(?!\w|-(?!\d))"
+CARD = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}}){GROUP}(?:[ -](?!{DATE}|{SSN}|{IP}){GROUP})*+"
 SECRET = r"(?<!\w)[0-9a-fA-F]{40}(?!\w)"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, DATE, SSN, IP, PHONE, CARD, SECRET))
+#: Cards are written in one group or in these; other groupings count where none of these is.
+CARD_SHAPES = ("4-4-4-4", "4-4-4-4-3", "4-6-5", "4-6-4", "4-4-4-1", "4-4-5")
+#: Country codes of two digits; 1 and 7 are whole codes, all others have three.
+CODES = r"^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: 1800-01-01 as a day number, and the days of a Gregorian cycle of 400 years, which are 189 * 773.
 EPOCH, DAYS = -62091, (189, 773)
 SSN_SIZES = (898 * 99, 9999)
@@ -86,10 +94,51 @@ def check_digit(payload: Column) -> Column:
 
 
 def card(m: Column, key: str) -> Column:
+    """m, a card number, replaced."""
     d = digits(m)
-    body = F.substring(d, F.lit(1), F.length(d) - 1)
-    valid = F.concat(body, check_digit(body)) == d
-    return F.when(valid, refill(m, bind(permuted_digits(body, key, "card"), lambda x: F.concat(x, check_digit(x))))).otherwise(m)
+    return refill(m, bind(permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"), lambda x: F.concat(x, check_digit(x))))
+
+
+def cards(m: Column, key: str) -> Column:
+    """(new, n): m, a run of groups of digits, with its card numbers replaced, and their number."""
+    groups, marks = F.regexp_extract_all(m, F.lit(r"\d+"), F.lit(0)), F.split(m, r"\d+", -1)
+    parts = F.zip_with(groups, F.slice(marks, 2, F.size(groups)), lambda g, s: F.struct(g.alias("g"), s.alias("s")))
+
+    def luhn(d: Column) -> Column:
+        body = F.substring(d, F.lit(1), F.length(d) - 1)
+        return F.length(d).between(13, 19) & (F.substring(d, F.length(d), F.lit(1)) == check_digit(body))
+
+    def size(ps: Column, i: Column, usual: bool) -> Column:
+        """How many groups from i on are a card, 0 without one: the least of the usual shapes, or else the most."""
+
+        def is_card(k: Column) -> Column:
+            own = F.slice(ps, i + 1, k)
+            whole = luhn(F.array_join(F.transform(own, lambda p: p["g"]), ""))
+            shape = F.array_join(F.transform(own, lambda p: F.length(p["g"]).cast("string")), "-")
+            return ((k == 1) | shape.isin(*CARD_SHAPES)) & whole if usual else whole
+
+        sizes = F.sequence(F.lit(1), F.least(F.lit(5 if usual else 19), F.size(ps) - i))
+        return F.coalesce((F.array_min if usual else F.array_max)(F.filter(sizes, is_card)), F.lit(0))
+
+    def scan(s: Column) -> Column:
+        ps, usual = s["ps"], s["usual"]
+
+        def step(a: Column, i: Column) -> Column:
+            def add(k: Column) -> Column:
+                own = F.slice(ps, i + 1, F.greatest(k, F.lit(1)))
+                text = F.array_join(F.transform(own, lambda p, q: F.when(q < F.size(own) - 1, F.concat(p["g"], p["s"])).otherwise(p["g"])), "")
+                new = F.concat(F.when(k > 0, card(text, key)).otherwise(text), F.element_at(own, -1)["s"])
+                return F.struct(F.concat(a["out"], F.array(new)).alias("out"), (i + F.greatest(k, F.lit(1))).alias("next"), (a["n"] + (k > 0).cast("int")).alias("n"))
+
+            u = F.get(usual, i)
+            other = bind(size(ps, i, False), lambda k: F.when(F.exists(F.slice(usual, i + 1, k), lambda v: v > 0), F.lit(0)).otherwise(k))
+            return F.when(i < a["next"], a).otherwise(bind(F.when(u > 0, u).otherwise(other), add))
+
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(ps) - 1), start, step, lambda a: F.struct(F.array_join(a["out"], "").alias("new"), a["n"].alias("n")))
+
+    both = bind(parts, lambda ps: F.struct(ps.alias("ps"), F.transform(ps, lambda p, i: size(ps, i, True)).alias("usual")))
+    return bind(both, scan)
 
 
 def date(m: Column, key: str) -> Column:
@@ -134,7 +183,7 @@ def ip(m: Column, key: str) -> Column:
 
 def phone(m: Column, key: str) -> Column:
     d = digits(m)
-    kept = F.greatest(F.lit(1), F.length(d) - 10)
+    kept = F.when(d.rlike("^[17]"), 1).when(d.rlike(CODES), 2).otherwise(3)
     return refill(m, F.concat(F.substring(d, F.lit(1), kept), permuted_digits(F.substring(d, kept + 1, F.lit(18)), key, "phone")))
 
 
@@ -148,16 +197,18 @@ def secret(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
+    """(new, n): the pseudonym of m, and how many values were replaced."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    out = F.when(m.contains("@"), email(m, key)).when(whole(r"[0-9a-fA-F]{40}"), secret(m, key)).when(m.startswith("+"), phone(m, key))
-    out = out.when(whole(r"\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4}"), date(m, key)).when(whole(r"\d{3}-\d{2}-\d{4}"), ssn(m, key))
-    return out.when(whole(r"\d{1,3}(?:\.\d{1,3}){3}"), ip(m, key)).otherwise(card(m, key))
+    one = lambda x: bind(x, lambda y: F.struct(y.alias("new"), (y != m).cast("int").alias("n")))
+    out = F.when(m.contains("@"), one(email(m, key))).when(whole(r"[0-9a-fA-F]{40}"), one(secret(m, key))).when(m.startswith("+"), one(phone(m, key)))
+    out = out.when(whole(r"\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4}"), one(date(m, key))).when(whole(r"\d{3}-\d{2}-\d{4}"), one(ssn(m, key)))
+    return out.when(whole(r"\d{1,3}(?:\.\d{1,3}){3}"), one(ip(m, key))).otherwise(cards(m, key))
 
 
 def pseudonymise(docs: DataFrame, *, key: str = "sparkpulse", text: str = "text", count: str | None = None) -> DataFrame:
     """docs with the found values of ``text`` replaced; count: the name of a column with the number of replaced values."""
     t = F.col(text)
-    found = bind(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda xs: F.transform(xs, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))))
+    found = bind(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda xs: F.transform(xs, lambda m: pseudonym(m, key)))
     some = t.rlike("[0-9@]|[0-9a-fA-F]{40}")
     both = F.when(some, F.struct(F.split(t, ANY, -1).alias("between"), found.alias("found")))
     d = docs.withColumn("__pii", both)
@@ -166,6 +217,5 @@ def pseudonymise(docs: DataFrame, *, key: str = "sparkpulse", text: str = "text"
     new = F.when(p.isNull() | (F.size(p["found"]) == 0), t).otherwise(F.array_join(pieces, ""))
     out = d.withColumn(text, new)
     if count:
-        out = out.withColumn(count, F.coalesce(F.size(F.filter(p["found"], lambda x: x["old"] != x["new"])), F.lit(0)).cast("long"))
-        out = out.withColumn(count, F.greatest(F.col(count), F.lit(0)))
+        out = out.withColumn(count, F.coalesce(F.aggregate(p["found"], F.lit(0), lambda n, x: n + x["n"]), F.lit(0)).cast("long"))
     return out.drop("__pii")

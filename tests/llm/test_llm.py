@@ -268,6 +268,17 @@ def test_op8(spark, odd, empty):
     assert d.distinct().count() == 5000 and d.agg(F.max("y")).first()[0] < n
 
 
+def test_op8_adjacent_values(spark):
+    lone = {1: "+1 (826) 555-4081", 2: "190.137.223.204", 3: "4111111111111111", 4: "2024-01-15", 5: "378282246310005", 6: "4111 1111 1111 1111", 7: "+44 20 7946 0958", 8: "123-45-6789"}
+    pairs = [(1, "{} {}", 2), (1, "{} {}", 4), (1, "{} 190 men, {}", 3), (3, "{} 123 {}", 2), (3, "123 {} {}", 4), (3, "{} {}", 5), (6, "2024 {} 987 {}", 3), (5, "{} {}", 2), (4, "{}T10:00 and {}T10:00:00Z", 4), (7, "{} {}", 2), (3, "{} {}", 8), (7, "{} {}", 4)]
+    rows = [*lone.items(), *((100 + i, f.format(lone[a], lone[b])) for i, (a, f, b) in enumerate(pairs)), (900, "1 " * 9000 + lone[3])]
+    x = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), count="n").collect()}
+    assert all(x[k].n == 1 and x[k].text != v for k, v in lone.items())
+    for i, (a, f, b) in enumerate(pairs):
+        assert (x[100 + i].text, x[100 + i].n) == (f.format(x[a].text, x[b].text), 2)
+    assert x[1].text.startswith("+1 (") and x[7].text.startswith("+44 ") and x[900].text == "1 " * 9000 + x[3].text
+
+
 def water(sizes):
     """Targets by repeated sharing out."""
     out, free = {}, {k: i % 3 + 1 for i, k in enumerate(sorted(sizes))}
