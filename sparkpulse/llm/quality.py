@@ -3,7 +3,7 @@
 Two histograms of each document are compared with references of every language by Jensen-Shannon distance (base 2, 0 to 1):
 characters by class, and the language's commonest short words against all other words.  References are counted over all
 documents, by their language label (null is a label of its own); the nearest language decides, so a wrong label does no
-harm.  A document is judged on characters only from ``min_chars`` on and on words only from ``min_words`` on; references
+harm.  The first ``free_digits`` digits beyond a language's share are not held against a document.  A document is judged on characters only from ``min_chars`` on and on words only from ``min_words`` on; references
 need ``min_reference`` words.  The reference table holds the ``max_langs`` labels with most words and ``top`` words each.
 
 Base rules come first: too few words, or too large a share of words in repeated five-word windows.
@@ -98,12 +98,22 @@ def jsd(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
-def distances(f: DataFrame, refs: list) -> DataFrame:
-    """f with class_distance and word_distance: the least over the references; null without references or counts."""
+def distances(f: DataFrame, refs: list, *, free_digits: int = 60) -> DataFrame:
+    """f with class_distance and word_distance: the least over the references; null without references or counts.
+
+    Up to ``free_digits`` digits above the reference's share don't count among the classes: a few numbers (cards, phones,
+    addresses, tokens) in a short text are for later stages to treat and say nothing of its quality."""
     array = lambda xs, kind: F.array(*map(F.lit, xs)).cast(f"array<{kind}>")
     common = sorted({w for _, _, ws, _ in refs for w in ws})
-    shares = F.transform("classes", lambda c: c / F.greatest(F.lit(1), F.col("word_chars")))
-    by_class = [jsd(shares, array(c, "double")) for _, c, _, _ in refs]
+    digit = CLASSES.index("digits")
+
+    def by_classes(q: list[float]) -> Column:
+        n = F.get("classes", F.lit(digit))
+        own = F.greatest(F.least(n, q[digit] * F.col("word_chars")), n - free_digits)
+        share = lambda own: F.transform("classes", lambda c, i: F.when(i == digit, own).otherwise(c) / F.greatest(F.lit(1), F.col("word_chars") - n + own))
+        return bind(bind(own, share), lambda p: jsd(p, array(q, "double")))
+
+    by_class = [by_classes(c) for _, c, _, _ in refs]
 
     def by_word(found: Column, ws: list[str], q: list[float]) -> Column:
         own = F.transform(array(ws, "string"), lambda w: (F.size(found) - F.size(F.array_remove(found, w))) / F.greatest(F.lit(1), F.col("n_words")))
@@ -121,12 +131,12 @@ def base_failed(n_words: Column, n_repeat: Column) -> Column:
     return (n_words < 10) | (100 * n_repeat > 20 * n_words)
 
 
-def verdicts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", min_chars: int = 200, min_words: int = 50, max_class: float = 0.15, max_word: float = 0.45, max_symbols: float = 0.02, **reference) -> DataFrame:
+def verdicts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", min_chars: int = 200, min_words: int = 50, max_class: float = 0.15, max_word: float = 0.45, max_symbols: float = 0.02, free_digits: int = 60, **reference) -> DataFrame:
     """doc_id, base counts, distances, base_failed and kept of every document."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     f = materialise(features(d), "quality")
     typical = f.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")) & (F.col("n_symbols") <= max_symbols * F.col("word_chars")))
-    f = distances(f, references(typical, **reference))
+    f = distances(f, references(typical, **reference), free_digits=free_digits)
     diverges = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(diverges, F.lit(False))).alias("kept"), "class_distance", "word_distance")

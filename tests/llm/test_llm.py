@@ -123,6 +123,16 @@ def test_op4(spark, odd, empty):
     assert d[99].class_distance > 0.15 > d[1].class_distance and not d[99].kept
 
 
+def test_op4_keeps_short_texts_with_numbers(spark):
+    rng = random.Random(5)
+    prose = [" ".join(rng.choice("the house of a man is in every river and no cloud by night".split()) + rng.choice("abcdefg") for _ in range(60)) for _ in range(40)]
+    numbers = f"{prose[0]} 4111111111111111 +1 (826) 555-4081 190.137.223.204"
+    digits = " ".join(str(rng.randint(1000, 99999)) for _ in range(70))
+    rows = [*enumerate(prose), (98, numbers), (99, digits)]
+    d = {r.doc_id: r for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))).collect()}
+    assert d[0].kept and d[98].kept and d[98].word_chars >= 200 and not d[99].kept
+
+
 def test_op5(spark):
     def page(i, paras, title):
         ps = "".join(f"<p>{p}" for p in paras)
