@@ -43,11 +43,11 @@ HOSTS = 100
 
 
 class Node:
-    __slots__ = ("tag", "noise", "kids", "text", "shape", "size", "template")
+    __slots__ = ("tag", "noise", "kids", "text", "shape", "size", "template", "holds")
 
     def __init__(self, tag: str, noise: bool = False, text: str = ""):
         self.tag, self.noise, self.text, self.kids, self.template = tag, noise, text, [], False
-        self.shape, self.size = None, 1
+        self.shape, self.size, self.holds = None, 1, False
 
 
 def tree(source: str) -> Node:
@@ -176,6 +176,7 @@ class Matcher:
 
 def blocks(root: Node) -> list[str]:
     """Texts of the content's blocks, in page order."""
+    weigh(root)
     found: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
     stack = [root]
     while stack:
@@ -217,10 +218,27 @@ def blocks(root: Node) -> list[str]:
     return [x for x in out if x]
 
 
+def weigh(root: Node) -> None:
+    """Mark the elements that hold the content: an article, main or h1 that isn't noise itself, or most of the page's text
+    outside links, template and elements dropped by name.  Names in class, id or role don't drop these."""
+    order, stack = [], [(root, False)]
+    while stack:
+        n, out = stack.pop()
+        out = out or n.tag in DROP or n.tag == "a" or n.tag == "#text" and n.template
+        order.append((n, out))
+        stack.extend((k, out) for k in n.kids)
+    length: dict[int, int] = {}
+    for n, out in reversed(order):
+        length[id(n)] = (0 if out else len(n.text)) + sum(length[id(k)] for k in n.kids)
+        n.holds = not out and any(k.holds or k.tag in ("article", "main", "h1") and not k.noise for k in n.kids)
+    for n, _ in order:
+        n.holds = n.holds or 2 * length[id(n)] > length[id(root)]
+
+
 def dropped(n: Node) -> bool:
     if n.tag == "header":
         return not any(k.tag in ("h1", "h2") for k in n.kids)
-    return n.tag in DROP or n.noise and n.tag not in ("html", "body", "article", "main", "h1", "h2") or n.noise and n.tag == "article"
+    return n.tag in DROP or n.noise and not n.holds and n.tag not in ("html", "body", "main", "h1", "h2")
 
 
 def extract(source: str | None, references: list[str], state: dict | None = None) -> str:

@@ -148,6 +148,14 @@ def test_op5(spark):
     assert wrapper.extract(divs[0], divs[1:4]) == "Body <" + "0" * 30
 
 
+def test_op5_class_noise_is_a_hint():
+    p = "Words of the story that go on for a while. " * 4
+    get = lambda body: wrapper.extract(f"<html><body>{body}</body></html>", [])
+    assert get(f'<div class="layout has-sidebar"><article><p>{p}</p></article><div class="sidebar">links</div></div>') == p.strip()
+    assert get(f'<div class="no-comments"><p>{p}</p></div><div class="comments">me too</div>') == p.strip()
+    assert get(f'<article><div class="entry-header"><h1>Title</h1></div><p>{p}</p><div class="share">tell</div></article>') == f"Title\n{p.strip()}"
+
+
 def test_stm_weight():
     m = wrapper.Matcher()
     a, b = wrapper.tree("<ul><li>x<li>y</ul>"), wrapper.tree("<ul><li>x<li>y<li>z</ul>")
