@@ -4,19 +4,24 @@ A document is the set of its word n-grams (64-bit hashes).  Sets fall into bands
 stand in the same or in neighbouring bands.  In the scheme of band k two partners, the smaller one in band k, differ in at most
 H tokens.  Hashing cuts the token universe into m segments; every segment in which they don't differ is an equal subset.
 
-Allocation.  A segment may be given threshold -1 (not indexed: it is empty, or too many unlike documents share its subset), 0
-(equal subsets) or 1 (subsets or their one-deletion neighbourhoods meet).  If the sum of threshold + 1 exceeds H, one segment
-meets.  Equal subsets cost one row, neighbourhoods one for each token, so documents start with ``H + 1 + spare`` segments at 0.
-``spare`` pays for segments at -1.  Documents whose empty or crowded segments exceed it are joined among each other at
-threshold 1, with about half the segments, and those for which that isn't enough by prefix tokens as well.
-
-Instead of all pairs of a bucket, each of its documents is verified against the bucket's first; groups that are linked in
-the end need no more.  A bucket is crowded if unlike components stay in it.  In the last phase one of the
-buckets with the same documents stays, and their documents take turns as the first ones, as many at once as keeps the pairs of a
-turn in proportion to the input, until no bucket holds two components that weren't compared.
-
-Equal sets are one vertex.  Null and empty texts, and texts without words, have no n-grams and link with nothing.  Fewer
-words than n make one n-gram.  Repeated ids are rows of their own.  Other columns are ignored.
+Cost-based allocation.  The subsets of all segments are counted first.  A segment may get threshold -1 (not looked up), 0 (equal
+subsets) or 1 (one-deletion neighbourhoods meet); if the sum of threshold + 1 exceeds H, one segment of any partner meets.
+Each set takes its H + 1 cheapest segments at 0, the cost being the number of sets that share the subset, and gives -1 to the
+rest.  A set whose full segments don't reach H + 1 gets threshold 1, with about half the segments, and prefix tokens where even
+that isn't enough.  Costs and allocation are worked out anew for the sets that are left after each of the steps below.
+
+Filters.  A set that shares fewer than (full segments - H) subsets with others has no partner.  Neither has one of whose tokens
+less than the threshold's share is found in the sets of other components.
+
+Verification.  Each set is verified against one other, the first of the buckets that most of its segments are in; linked sets
+are one component from there on.  What is left, buckets of unlike components whose sets pass both filters, falls into clusters
+of sets that share buckets.  Clusters are cut into chunks of a bounded number of sets and tokens, and each pair of chunks is
+compared in one task by counting common tokens; chunks of one component aren't compared with themselves.  Only links
+leave a task.
+
+Equal sets are one vertex, named by a 64-bit hash of its tokens; no row numbers are used, so the input may be split in any way.
+Null and empty texts, and texts without words, have no n-grams and link with nothing.  Fewer words than n make one n-gram.
+Repeated ids are rows of their own; a null id is never a component's smallest unless all are null.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +33,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, release, shared_dir, trim
+from .common import Scratch, trim
 from .components import components
 
 U = np.uint64
@@ -40,12 +45,16 @@ _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
 _blank = np.zeros(256, bool)
 _blank[[9, 10, 11, 12, 13, 32]] = True
-#: Ids that are sent to every executor at most; beyond, the join shuffles.
-BROADCAST_ROWS = 2_000_000
-#: Pairs that a turn of the last phase makes at most, for each document of the input (or one for each row of its buckets).
-TURN = 128
-#: Documents whose signatures are packed together, and whose sets are cut at once: bounds of a worker's memory.
-BATCH, SLICE = 3000, 400
+#: Keys that are sent to every executor at most; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+#: Tokens that are cut into segments at once, and entries that are packed together: bounds of a worker's memory.
+CUT, FLUSH = 200_000, 600_000
+#: Documents whose entries one task gathers, about.
+GATHER = 8000
+#: Sets and tokens of a chunk, about.
+CHUNK_SETS, CHUNK_TOKENS = 256, 150_000
+#: The last bits of a signature's name: the parity of its scheme, or a neighbourhood.
+NEAR = 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,13 +118,10 @@ class Schemes:
         """Tokens in which partners can differ, the smaller being in band k."""
         return (self.den - self.num) * (self.starts[k + 1] - 1) // self.num
 
-    def spare(self, k: int) -> tuple[int, int]:
-        """Segments that may be empty, and crowded."""
-        h = self.differ(k)
-        return 2 + math.ceil(0.11 * h), 2 + math.ceil(0.05 * h)
-
     def segments(self, k: int) -> int:
-        return self.differ(k) + 1 + sum(self.spare(k))
+        """H + 1, and some that may be empty or crowded."""
+        h = self.differ(k)
+        return h + 4 + math.ceil(0.2 * h)
 
     def of(self, size: int) -> list[int]:
         """Schemes in which a set takes part: that of its band and of the band below.  Without differences equality is all."""
@@ -131,8 +137,14 @@ class Schemes:
         return self.den * common >= self.num * (small + large - common)
 
 
+def node_of(s: np.ndarray) -> int:
+    """The name of a set."""
+    a, b = mix(s).sum(dtype=np.uint64), mix(s ^ U(BASE)).sum(dtype=np.uint64)
+    return int(mix(np.array([a ^ mix(np.array([b + U(len(s))]))[0]]))[0].view(np.int64))
+
+
 def signatures(sets: list[np.ndarray], ks: list[int], sch: Schemes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, index of the set, empty segments of each set) with set i cut by scheme ks[i]."""
+    """(signatures, index of the set, full segments of each set) with set i cut by scheme ks[i]."""
     m = np.array([sch.segments(k) for k in ks], np.int64)
     base = np.concatenate([[0], np.cumsum(m)])
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -147,10 +159,8 @@ def signatures(sets: list[np.ndarray], ks: list[int], sch: Schemes) -> tuple[np.
     of = np.repeat(np.arange(len(sets)), m)
     local = np.arange(int(base[-1])) - base[of]
     sig = mix((lo + (hi << U(32))) ^ mix(np.array(ks, np.uint64)[of] * U(1 << 32) + local.astype(np.uint64)))
-    odd = (np.array(ks, np.uint64)[of] & U(1)) << U(16)  # which of a set's two schemes it is, kept in the name
-    sig = (sig & ~U(1 << 16)) | odd
-    empty = np.bincount(of[~full], minlength=len(sets))
-    return sig[full], of[full], empty
+    sig = sig & ~U(3) | (np.array(ks, np.uint64)[of] & U(1))
+    return sig[full], of[full], np.bincount(of[full], minlength=len(sets))
 
 
 def neighbourhoods(s: np.ndarray, k: int, sch: Schemes) -> np.ndarray:
@@ -177,260 +187,367 @@ def neighbourhoods(s: np.ndarray, k: int, sch: Schemes) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _index(docs: DataFrame, sch: Schemes, buckets: int, n: int) -> DataFrame:
-    """Rows by kind: 0 packed signatures of a bucket, 1 (signature, row) known to recur, 2 (band, row) with too many empty
-    segments, 3 (row, size, hash of the set)."""
+class Packer:
+    """Gathers entries (hash, owner) and cuts them into one blob per bucket: owners with a note each, names of 32 bits."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.nodes: list[int] = []
+        self.notes: list[int] = []
+        self.hashes: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+        self.size = 0
+
+    def owner(self, node: int, note: int) -> int:
+        self.nodes.append(node)
+        self.notes.append(note)
+        return len(self.nodes) - 1
+
+    def add(self, hashes: np.ndarray, owners: np.ndarray) -> None:
+        self.hashes.append(hashes)
+        self.owners.append(owners.astype(np.uint16))
+        self.size += len(hashes)
+
+    @property
+    def full(self) -> bool:
+        return self.size >= FLUSH or len(self.nodes) >= 60_000
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            h, owner = np.concatenate(self.hashes), np.concatenate(self.owners)
+            bucket = ((h >> U(32)) % U(self.buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            name, owner, bucket = h[order].astype(np.uint32), owner[order], bucket[order]
+            cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
+            head = np.array(self.nodes, np.int64).tobytes() + np.array(self.notes, np.int64).tobytes()
+            for k in range(self.buckets):
+                if n := int(cuts[k + 1] - cuts[k]):
+                    blob = np.array([len(self.nodes), n], np.int64).tobytes() + head + name[cuts[k] : cuts[k + 1]].tobytes() + owner[cuts[k] : cuts[k + 1]].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([blob], pa.binary())], names=["a", "blob"])
+        self.clear()
+
+
+def unpack(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, nodes, notes) of the entries whose names recur, sorted by name and node, without repeats."""
+    names, owners, nodes, notes, at = [], [], [], [], 0
+    for blob in blobs:
+        raw = blob.as_buffer()
+        k, n = np.frombuffer(raw, np.int64, 2).tolist()
+        nodes.append(np.frombuffer(raw, np.int64, k, 16))
+        notes.append(np.frombuffer(raw, np.int64, k, 16 + 8 * k))
+        names.append(np.frombuffer(raw, np.uint32, n, 16 + 16 * k))
+        owners.append(np.frombuffer(raw, np.uint16, n, 16 + 16 * k + 4 * n).astype(np.int32) + at)
+        at += k
+    name, owner, node, note = np.concatenate(names), np.concatenate(owners), np.concatenate(nodes), np.concatenate(notes)
+    order = np.argsort(name, kind="stable")
+    name, owner = name[order], owner[order]
+    some = _recurs(name)
+    name, owner = name[some], owner[some]
+    node, note = node[owner], note[owner]
+    order = np.lexsort((node, name))
+    name, node, note = name[order], node[order], note[order]
+    first = np.concatenate([[True], (name[1:] != name[:-1]) | (node[1:] != node[:-1])])[: len(name)]
+    name, node, note = name[first], node[first], note[first]
+    some = _recurs(name)
+    return name[some], node[some], note[some]
+
+
+def _recurs(x: np.ndarray) -> np.ndarray:
+    same = x[1:] == x[:-1]
+    return (np.concatenate([[False], same]) | np.concatenate([same, [False]]))[: len(x)]
+
+
+def _index(d: DataFrame, sch: Schemes, buckets: int, n: int) -> DataFrame:
+    """kind 0: sig, node, cost, need of signatures that several sets have; kind 1: doc_id, key, node, n of each row."""
+
+    def cut(rows: list[tuple[int, np.ndarray]], pack: Packer) -> None:
+        sets, ks, of = [], [], []
+        needs = {}
+        for node, s in rows:
+            for k in sch.of(len(s)):
+                sets.append(s)
+                ks.append(k)
+                of.append(node)
+        if not sets:
+            return
+        sig, owner, full = signatures(sets, ks, sch)
+        hs = [sch.differ(k) for k in ks]
+        for i, (node, k) in enumerate(zip(of, ks, strict=True)):
+            needs.setdefault(node, [0, 0])[k & 1] = max(0, int(full[i]) - hs[i])
+        place = {node: pack.owner(node, a | b << 32) for node, (a, b) in needs.items()}
+        index = np.array([place[node] for node in of])
+        pack.add(sig, index[owner])
+        for i in np.flatnonzero(full <= np.array(hs)):
+            near = neighbourhoods(sets[i], ks[i], sch) & ~U(3) | U(NEAR)
+            pack.add(near, np.full(len(near), index[i]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                yield from one(whole.slice(at, BATCH))
-                trim()
-
-    def out(kind: int, a, b, c, blob=None) -> pa.RecordBatch:
-        size = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *(pa.array(np.asarray(x).astype(np.int64)) for x in (a, b, c)), pa.array(blob, pa.binary()) if blob is not None else pa.nulls(size, pa.binary())], names=["kind", "a", "b", "c", "blob"])
-
-    def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = b.column(0).to_numpy()
-        sizes, hashes, seen = np.zeros(len(rows), np.int64), np.zeros((len(rows), 2), np.uint64), set()
-        sigs, owners = [], []
-        for lo in range(0, len(rows), SLICE):
-            sets, ks, of = [], [], []
-            for i, t in enumerate(b.column(1).slice(lo, SLICE), lo):
+        pack = Packer(buckets)
+        for b in batches:
+            sizes, nodes = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            rows, total, seen = [], 0, set()
+            for i, t in enumerate(b.column("text")):
                 s = ngrams(t.as_py(), n)
                 if not len(s):
                     continue
-                sizes[i] = len(s)
-                hashes[i] = mix(s).sum(dtype=np.uint64), mix(s ^ U(BASE)).sum(dtype=np.uint64)
-                key = (hashes[i, 0], hashes[i, 1])
-                if key in seen:
-                    continue
-                seen.add(key)
-                for k in sch.of(len(s)):
-                    sets.append(s)
-                    ks.append(k)
-                    of.append(i)
-            if sets:
-                sig, owner, empty = signatures(sets, ks, sch)
-                of = np.array(of)
-                sigs.append(sig)
-                owners.append(of[owner])
-                hard = empty > np.array([sch.spare(k)[0] for k in ks])
-                if hard.any():
-                    yield out(2, np.array(ks)[hard], rows[of[hard]], np.zeros(hard.sum()))
-        some = sizes > 0
-        yield out(3, rows, hashes[:, 0].view(np.int64), hashes[:, 1].view(np.int64), [int(x).to_bytes(8, "little") for x in sizes])
-        if not some.any() or not sigs:
-            return
-        sig, owner = np.concatenate(sigs), np.concatenate(owners)
-        bucket = (sig % U(buckets)).astype(np.uint64)
-        name = bucket << U(48) | sig >> U(16)
-        order = np.lexsort((owner, name))
-        name, owner = name[order], owner[order]
-        first = np.concatenate([[True], name[1:] != name[:-1]])
-        again = ~first | np.concatenate([~first[1:], [False]])
-        if again.any():
-            yield out(1, name[again], rows[owner[again]], np.zeros(again.sum()))
-        name, owner = name[first], owner[first]
-        cuts = np.searchsorted(name, np.arange(buckets + 1, dtype=np.uint64) << U(48))
-        packed = (name << U(16)) | owner.astype(np.uint64)
-        head = np.array([len(rows)], np.uint64).tobytes() + rows.astype(np.int64).tobytes()
-        full = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
-        for lo in range(0, len(full), 16):
-            ks = full[lo : lo + 16]
-            yield out(0, ks, np.zeros(len(ks)), np.zeros(len(ks)), [head + packed[cuts[k] : cuts[k + 1]].tobytes() for k in ks])
-
-    return docs.mapInArrow(run, "kind int, a long, b long, c long, blob binary")
-
-
-def _recurring(blobs: DataFrame) -> DataFrame:
-    """(signature, row) of signatures that several batches have."""
+                sizes[i], nodes[i] = len(s), node_of(s)
+                if (node := int(nodes[i])) not in seen:
+                    seen.add(node)
+                    rows.append((node, s))
+                    total += len(s)
+                if total >= CUT:
+                    cut(rows, pack)
+                    rows, total = [], 0
+                    if pack.full:
+                        yield from pack.flush()
+                        seen.clear()
+            cut(rows, pack)
+            if pack.full:
+                yield from pack.flush()
+            info = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(nodes), pa.array(sizes)], names=["doc_id", "key", "node", "n"])
+            if info.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, info.schema) as out:
+                    out.write_batch(info)
+                at = b.column("key")[0].as_py() % buckets
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["a", "blob"])
+            trim()
+        yield from pack.flush()
+        trim()
 
-    def run(t: pa.Table) -> pa.Table:
+    kind = d.schema["doc_id"].dataType.simpleString()
+
+    def gather(t: pa.Table) -> pa.Table:
         bucket = t.column("a")[0].as_py()
-        names, rows = [], []
-        for blob in t.column("blob"):
-            x = np.frombuffer(blob.as_buffer(), np.uint64)
-            ids, x = x[1 : 1 + int(x[0])].view(np.int64), x[1 + int(x[0]) :]
-            names.append(x >> U(16))
-            rows.append(ids[(x & U(0xFFFF)).astype(np.int64)])
-        name, row = np.concatenate(names), np.concatenate(rows)
-        order = np.argsort(name, kind="stable")
-        name, row = name[order], row[order]
-        del names, rows, order
-        same = name[1:] == name[:-1]
-        again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        if bucket < 0:
+            x = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in t.column("blob")])
+            cols = {"kind": np.ones(len(x), np.int32), "sig": np.zeros(len(x), np.int64), "node": x["node"], "n": x["n"], "need": np.zeros(len(x), np.int32), "doc_id": x["doc_id"], "key": x["key"]}
+            return pa.table(cols)
+        name, node, note = unpack(t.column("blob"))
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])[: len(name)])
+        count = np.diff(np.concatenate([first, [len(name)]]))
+        need = np.where(name & 1, note >> 32, note & 0xFFFFFFFF)
+        need[name & 3 == NEAR] = 1
+        sig = name.astype(np.int64) | bucket << 32
+        out = {"kind": np.zeros(len(sig), np.int32), "sig": sig, "node": node, "n": np.repeat(count, count), "need": need.astype(np.int32), "doc_id": pa.nulls(len(sig), t.schema.field("a").type).cast(ids), "key": np.zeros(len(sig), np.int64)}
         trim()
-        return pa.table({"sig": pa.array((name[again] | U(bucket << 48)).view(np.int64)), "row": pa.array(row[again])})
+        return pa.table(out)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    ids = to_arrow_type(d.schema["doc_id"].dataType)
+    return d.mapInArrow(run, "a long, blob binary").groupBy("a").applyInArrow(gather, f"kind int, sig long, node long, n long, need int, doc_id {kind}, key long")
 
-    return blobs.groupBy("a").applyInArrow(run, "sig long, row long")
 
+def _allocated(met: DataFrame) -> DataFrame:
+    """Rows of sets that share enough subsets, with sel: whether the set looks this one up, for the cheapest suffice."""
+    w = Window.partitionBy("node", F.col("sig").bitwiseAND(3))  # a set's own segments
+    met = met.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy("cost", "sig")))
+    return met.where("__n >= need").withColumn("sel", F.col("__r") <= F.col("__n") - F.greatest("need", F.lit(1)) + 1).drop("__n", "__r")
 
-def _sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their sizes na and nb."""
-    s = sets.select("row", "size")
-    return pairs.join(s.select(F.col("row").alias("a"), F.col("size").alias("na")), "a").join(s.select(F.col("row").alias("b"), F.col("size").alias("nb")), "b")
 
+def _only(rows: DataFrame, wanted: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
+    """Rows whose key is wanted (distinct keys), found without a shuffle of the rows while the keys are few enough."""
+    wanted = scratch.save(wanted.select(key), name)
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, key, "left_semi")
 
-def _verified(pairs: DataFrame, sets: DataFrame, sch: Schemes) -> DataFrame | None:
-    """Those of pairs (a, b, na, nb) that link; None if there are none to test."""
+
+def _sets(d: DataFrame, n: int) -> DataFrame:
+    """(node, n, tokens) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [sch.linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for lo in range(0, b.num_rows, 100):
+                sets = [ngrams(t.as_py(), n) for t in b.column(0).slice(lo, 100)]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "tokens"])
             trim()
 
-    low, high = sch.num, sch.den
-    p = pairs.where((F.col("na") * high >= F.col("nb") * low) & (F.col("nb") * high >= F.col("na") * low)).select("a", "b").distinct()
-    p = materialise(p, "ngram-tested")
-    if p.isEmpty():
-        return None
-    s = _only(sets.select("row", "tokens"), p.select(F.col("a").alias("row")).unionByName(p.select(F.col("b").alias("row"))).distinct())
-    p = p.join(s.select(F.col("row").alias("a"), F.col("tokens").alias("ta")), "a").join(s.select(F.col("row").alias("b"), F.col("tokens").alias("tb")), "b")
-    return p.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return d.select("text").mapInArrow(run, "node long, n long, tokens binary")
 
 
-def _joined(more: DataFrame | None, comp: DataFrame | None, spark: SparkSession) -> DataFrame:
-    """Components with more edges, which are looked at only if there are any; of the edges before, the stars are enough."""
-    none = comp if comp is not None else spark.createDataFrame([], "node long, root long")
-    if more is None:
-        return none
-    more = materialise(more, "ngram-edges")
-    if more.isEmpty():
-        return none
-    return components(more if comp is None else more.unionByName(comp.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+def _verified(pairs: DataFrame, sets: DataFrame, sch: Schemes) -> DataFrame:
+    """Those of pairs (a, b) that link."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [sch.linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            trim()
 
-def _only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of sets that are wanted, found without a shuffle of the sets while the ids are few enough."""
-    w = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return sets.join(w, "row", "left_semi")
+    low, high = sch.num, sch.den
+    s = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    p = pairs.join(s("b"), "b").join(s("a"), "a").where((F.col("na") * high >= F.col("nb") * low) & (F.col("nb") * high >= F.col("na") * low))
+    return p.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
-    return members.join(comp.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+def _unlike(met: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows of the buckets that hold several components and that one of its sets looks up, allocated anew."""
+    lo = met.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("cost"), F.max("sel").alias("any"))
+    lo = scratch.save(lo.where("lo <> hi").select("sig", "cost"), f"{name}-buckets")
+    out = scratch.save(_allocated(met.drop("cost", "sel").join(lo, "sig")), name)
+    scratch.drop(f"{name}-buckets")
+    return out
 
 
-def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """row, doc_id, n_shingles and component_id (the smallest id of the documents reachable by links) of every row."""
-    spark = docs.sparkSession
-    sch = Schemes(num, den)
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    count = d.count()
-    path = shared_dir(spark, "ngram-index")
-    _index(d.select("row", "text"), sch, min(65_000, max(64, count // 2000)), n).write.partitionBy("kind").parquet(path)
-    index = spark.read.schema("a long, b long, c long, blob binary, kind int").parquet(path)
-    info = index.where("kind = 3").select(F.col("a").alias("row"), _long("blob").alias("n_shingles"), "b", "c")
-    reps = info.where("n_shingles > 0").groupBy("b", "c", "n_shingles").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
-    same = info.where("n_shingles > 0").join(reps.where("copies > 1"), ["b", "c", "n_shingles"]).select("row", "rep")
-    same = materialise(same, "ngram-same")
-    to_rep = lambda t: t.join(same, "row", "left").withColumn("row", F.coalesce("rep", "row")).drop("rep")
-
-    met = index.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("row")).unionByName(_recurring(index.where("kind = 0").select("a", "blob")))
-    met = to_rep(met).distinct()
-    first = met.groupBy("sig").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = materialise(met.join(first, "sig"), "ngram-met")
-    del first
-    release(spark, f"{path}/kind=0", f"{path}/kind=1")  # the packed signatures are done with
-    hard_empty = materialise(to_rep(index.where("kind = 2").select(F.col("a").cast("int").alias("k"), F.col("b").alias("row"))).distinct(), "ngram-empty")
-
-    wanted = materialise(met.select("row").unionByName(hard_empty.select("row")).distinct(), "ngram-wanted")
-    sets = materialise(_sets(d.select("row", "text"), wanted, n), "ngram-sets")
-
-    pairs = materialise(met.where("row <> first").groupBy(F.col("first").alias("a"), F.col("row").alias("b")).agg(F.count("*").alias("times")), "ngram-pairs")
-    release(spark)
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", F.negative("a"))).alias("a")).select("a", "b")
-    comp = _joined(_verified(_sized(best, sets), sets, sch), None, spark)
-    rest = _apart(pairs.select("a", "b"), comp).join(best, ["a", "b"], "left_anti")
-    comp = _joined(_verified(_sized(rest, sets), sets, sch), comp, spark)
-    release(spark)
-
-    # Crowded buckets hold several components still, beside their first document, with which all others were compared.
-    lab = _labelled(met.where("row <> first").select("sig", "row"), comp)
-    crowded = lab.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    few = spark.createDataFrame([(k, sch.spare(k)[1]) for k in range(len(sch.starts) - 1)], "k int, crowded_spare int")
-    unmet = met.where("row <> first").join(crowded, "sig").groupBy("row", F.pmod("sig", F.lit(2)).cast("int").alias("odd")).agg(F.count("*").alias("unmet"))
-    unmet = unmet.join(sets.select("row", "size"), "row").select("row", "odd", "unmet", F.explode(_bands("size", sch)).alias("k")).where("k % 2 = odd")
-    unmet = unmet.join(F.broadcast(few), "k").where("unmet > crowded_spare")  # few: one row per band
-    hard = materialise(hard_empty.unionByName(unmet.select("k", "row")).distinct(), "ngram-hard")
-    del lab, crowded, unmet
-    release(spark)
-    comp = _last_phase(hard, sets, comp, sch, count)
-
-    root = to_rep(info.select("row", F.col("row").alias("own"), "n_shingles"))
-    root = _labelled(root.select("row", "own", "n_shingles"), comp).select(F.col("own").alias("row"), "root", "n_shingles")
-    out = d.select("row", "doc_id").join(root, "row")
-    least = out.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return out.join(least, "root").select("row", "doc_id", "n_shingles", "component_id")
-
-
-def _long(blob: str):
-    """A binary column of eight little-endian bytes as a number."""
-    return F.conv(F.hex(F.concat(*(F.substring(blob, i, 1) for i in range(8, 0, -1)))), 16, 10).cast("long")
-
-
-def _bands(size: str, sch: Schemes):
-    """The schemes of a size, as a column."""
-    k = F.size(F.filter(F.array(*map(F.lit, [x for x in sch.starts if x < 1 << 31])), lambda b: b <= F.col(size))) - 1
-    return F.array(k, F.greatest(k - 1, F.lit(0)))
-
-
-def _sets(d: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(row, size, tokens) of the wanted rows."""
+def _supported(docs: DataFrame, sch: Schemes, buckets: int) -> DataFrame:
+    """Nodes of docs (node, root, tokens, n) that may have a partner: enough of their tokens are in other components' sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = Packer(buckets)
         for b in batches:
-            for lo in range(0, b.num_rows, SLICE):
-                sets = [ngrams(t.as_py(), n) for t in b.column(1).slice(lo, SLICE)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, SLICE), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["row", "size", "tokens"])
-            trim()
-
-    return _only(d, wanted).mapInArrow(run, "row long, size long, tokens binary")
+            for node, root, tokens in zip(b.column("node").to_pylist(), b.column("root").to_pylist(), b.column("tokens"), strict=True):
+                t = mix(np.frombuffer(tokens.as_buffer(), np.uint64))
+                pack.add(t, np.full(len(t), pack.owner(node, root)))
+                if pack.full:
+                    yield from pack.flush()
+        yield from pack.flush()
+        trim()
 
+    def gather(t: pa.Table) -> pa.Table:
+        name, node, root = unpack(t.column("blob"))
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])[: len(name)])
+        lo, hi = (f.reduceat(root, first) if len(first) else root for f in (np.minimum, np.maximum))
+        node = node[np.repeat(lo != hi, np.diff(np.concatenate([first, [len(name)]])))]
+        node, count = np.unique(node, return_counts=True)
+        trim()
+        return pa.table({"node": node, "c": count})
+
+    found = docs.select("node", "root", "tokens").mapInArrow(run, "a long, blob binary").groupBy("a").applyInArrow(gather, "node long, c long")
+    return found.groupBy("node").agg(F.sum("c").alias("c")).join(docs.select("node", "n"), "node").where(F.col("c") * sch.den >= F.col("n") * sch.num).select("node")
+
+
+def _compared(docs: DataFrame, sch: Schemes, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between components in the clusters of docs (node, root, cluster, n, tokens)."""
+    # A component with many sets in a cluster has chunks of its own.
+    per = docs.groupBy("cluster", "root").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    per = per.withColumn("own", F.when(F.col("c") >= CHUNK_SETS, F.col("root")))
+    parts = per.groupBy("cluster", "own").agg(F.greatest(F.ceil(F.sum("c") / CHUNK_SETS), F.ceil(F.sum("t") / CHUNK_TOKENS)).cast("long").alias("k"))
+    w = Window.partitionBy("cluster")  # a row for each chunked component
+    parts = parts.withColumn("base", F.coalesce(F.sum("k").over(w.orderBy("own").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("k").over(w))
+    per = per.join(parts.select(F.col("cluster").alias("__c"), F.col("own").alias("__o"), "k", "base", "all"), (F.col("cluster") == F.col("__c")) & F.col("own").eqNullSafe(F.col("__o")))
+    per = scratch.save(per.select("cluster", "root", "own", "k", "base", "all"), "ngram-chunks")
+    x = docs.join(per, ["cluster", "root"]).withColumn("x", F.col("base") + F.pmod(F.xxhash64("node"), F.col("k")))
+    x = x.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)))
+    x = x.where(F.col("own").isNull() | (F.col("y") < F.col("base")) | (F.col("y") >= F.col("base") + F.col("k")))
+    x = x.select("cluster", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).alias("right"), "node", "root", "tokens")
+    num, den = sch.num, sch.den
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    c = comp.select(F.col("node"), F.col("root"))
-    p = pairs.join(c.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(c.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return p.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    def run(t: pa.Table) -> pa.Table:
+        node, root, right = (t.column(c).to_numpy() for c in ("node", "root", "right"))
+        one = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")]
+        size = np.array([len(s) for s in sets])
+        left = np.flatnonzero(~right)
+        other = left if one else np.flatnonzero(right)
+        edges: list[tuple[int, int]] = []
+        if len(left) and len(other):
+            token, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            shared = np.cumsum(count > 1) - 1  # tokens of one set don't matter
+            owner = np.repeat(np.arange(len(sets)), size)
+            some = (count > 1)[inverse]
+            owner, at = owner[some], shared[inverse[some]]
+            common = np.zeros((len(left), len(other)), np.float32)
+            order = np.argsort(at, kind="stable")
+            owner, at = owner[order], at[order]
+            step = max(256, 2_000_000 // len(sets))
+            for lo in range(0, int(at[-1]) + 1 if len(at) else 0, step):
+                i, j = np.searchsorted(at, [lo, lo + step])
+                m = np.zeros((len(sets), step), np.float32)
+                m[owner[i:j], at[i:j] - lo] = 1
+                common += m[left] @ m[other].T
+            both = size[left][:, None] + size[other][None, :] - common
+            ok = (den * common.astype(np.float64) >= num * both) & (root[left][:, None] != root[other][None, :])
+            up: dict[int, int] = {}
+
+            def find(r: int) -> int:
+                while (y := up.get(r, r)) != r:
+                    r = y
+                return r
+
+            for a, b in zip(*np.nonzero(ok), strict=True):
+                a, b = left[a], other[b]
+                x, y = find(int(root[a])), find(int(root[b]))
+                if x != y:
+                    up[x] = y
+                    edges.append((int(node[a]), int(node[b])))
+        trim()
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
+    return x.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
-def _last_phase(hard: DataFrame, sets: DataFrame, comp: DataFrame, sch: Schemes, docs: int) -> DataFrame:
-    """Components with the edges of hard documents, joined among each other at threshold 1."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, row, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                s = np.frombuffer(tokens.as_buffer(), np.uint64)
-                if k in sch.of(len(s)):
-                    sig = neighbourhoods(s, k, sch)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), row, np.int64)), pa.array(np.full(len(sig), len(s), np.int64))], names=["sig", "row", "size"])
-
-    spark = sets.sparkSession
-    met = hard.join(sets.select("row", "tokens"), "row").select("k", "row", "tokens").mapInArrow(run, "sig long, row long, size long")
-    # Only buckets of unlike components are looked at, so those of one component aren't written.
-    met = materialise(_unlike(_labelled(met, comp)), "ngram-near")
-    release(spark)
-    while rows := met.count():
-        # Some documents of each bucket, the least of each of so many parts, are compared with all others, then leave it.
-        parts = 2 ** int(math.log2(max(1, TURN * docs / rows)))
-        part = F.pmod(F.xxhash64("row", F.lit(rows)), F.lit(parts))
-        firsts = met.groupBy("sig", part.alias("part")).agg(F.min(F.struct("row", "size", "root")).alias("x")).select("sig", F.col("x.row").alias("f"), F.col("x.size").alias("nf"), F.col("x.root").alias("rf"))
-        firsts = materialise(firsts, "ngram-firsts")
-        pairs = met.join(firsts, "sig").where("root <> rf").select(F.least("f", "row").alias("a"), F.greatest("f", "row").alias("b"), F.when(F.col("f") < F.col("row"), F.col("nf")).otherwise(F.col("size")).alias("na"), F.when(F.col("f") < F.col("row"), F.col("size")).otherwise(F.col("nf")).alias("nb"))
-        before, comp = comp, _joined(_verified(pairs, sets, sch), comp, spark)
-        rest = met.join(firsts.select("sig", F.col("f").alias("row")), ["sig", "row"], "left_anti")
-        met = materialise(_unlike(rest if comp is before else _labelled(rest.drop("root"), comp)), "ngram-near")
-        del firsts, pairs, rest, before
-        release(spark)
-    return comp
-
-
-def _unlike(labelled: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components; of buckets with the same documents one is enough."""
-    h = [F.bit_xor(F.xxhash64("row", F.lit(x))).alias(f"h{x}") for x in (1, 2)]
-    more = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), *h).where("lo <> hi")
-    more = more.groupBy("c", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
-    return labelled.join(more, "sig", "left_semi").select("sig", "row", "size", "root")
+def members(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, key (a hash of id and text), n_shingles, component_id (the smallest id of the documents reachable by links) and
+    root (the component's own name; null without n-grams)."""
+    spark = docs.sparkSession
+    sch = Schemes(num, den)
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("key"))
+    buckets = min(65_000, max(24, docs.count() // GATHER))
+    scratch.save(_index(d, sch, buckets, n), "ngram-index", by="kind")
+    index = scratch.get("ngram-index")
+    info = index.where("kind = 1").select("doc_id", "key", "node", F.col("n").alias("n_shingles"))
+    nodes = scratch.save(info.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "ngram-nodes")
+
+    met = scratch.save(_allocated(index.where("kind = 0").select("sig", "node", F.col("n").alias("cost"), "need")), "ngram-met")
+    first = met.groupBy("sig").agg(F.min("node").alias("first"), F.count("*").alias("c"), F.max("sel").alias("any")).where("c > 1 and any").select("sig", "first")
+    met = scratch.save(met.join(scratch.save(first, "ngram-first"), "sig"), "ngram-shared")
+    best = met.where("node <> first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("times"))
+    best = scratch.save(best.groupBy("b").agg(F.max_by("a", F.struct("times", F.negative("a"))).alias("a")).select("a", "b"), "ngram-best")
+    scratch.drop("ngram-met", "ngram-first")
+
+    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi")
+    sets = scratch.save(_sets(_only(d, wanted, "key", scratch, "ngram-wanted"), n).dropDuplicates(["node"]), "ngram-sets")
+    links = scratch.save(_verified(best, sets, sch), "ngram-links")
+    comp = scratch.save(components(links), "ngram-stars")
+
+    met = met.drop("first").join(comp.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = _unlike(scratch.save(met, "ngram-rooted"), scratch, "ngram-left")
+    scratch.drop("ngram-shared", "ngram-rooted", "ngram-best", "ngram-wanted")
+    left = scratch.save(met.select("node", "root").distinct().join(sets, "node"), "ngram-support")
+    good = scratch.save(_supported(left, sch, max(24, left.count() // GATHER)), "ngram-good")
+    met = _unlike(met.join(good, "node", "left_semi"), scratch, "ngram-rest")
+
+    # What is left is compared by cluster: sets that share a bucket which one of them looks up.
+    first = met.groupBy("sig").agg(F.min("node").alias("first"), F.max("sel").alias("any")).where("any").select("sig", "first")
+    edges = met.join(scratch.save(first, "ngram-first"), "sig").select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    clusters = scratch.save(components(edges).withColumnRenamed("root", "cluster"), "ngram-clusters")
+    more = scratch.save(_compared(clusters.join(left, "node"), sch, scratch), "ngram-more")
+    comp = comp if more.isEmpty() else components(more.unionByName(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")))
+
+    of = nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = scratch.save(of.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("c")).where("c > 1").drop("c"), "ngram-least")
+    of = scratch.save(of.join(least, "root").select("node", "root", "component_id"), "ngram-component")
+    info = scratch.save(info, "ngram-info")
+    scratch.keep("ngram-info", "ngram-component")
+    linked = info.where("n_shingles > 0").join(of.withColumnRenamed("component_id", "least"), "node", "left")
+    alone = F.col("root").isNull()
+    linked = linked.select("doc_id", "key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "node").alias("root"))
+    return linked.unionByName(info.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
+
+
+def link(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return members(docs, Scratch(docs.sparkSession), **parameters).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
+    """Those rows of docs, all columns, that stand for their component: the smallest id (null last), one row if it recurs.
+
+    Rows without n-grams all stay."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    m = members(docs, scratch, doc_id=doc_id, text=text, **parameters)
+    rows = m.where("n_shingles > 0").groupBy("root", "key").agg(F.min("doc_id").alias("id"), F.count("*").alias("c"))
+    lead = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "c")).alias("x")).select(F.col("x.key").alias("key"), F.col("x.c").alias("c"))
+    none = m.where("n_shingles = 0").select("key").distinct()
+    keep = scratch.save(lead.select("key", (F.col("c") > 1).alias("again")).unionByName(none.withColumn("again", F.lit(False))), "ngram-keep")
+    size, again = keep.agg(F.count("*"), F.coalesce(F.max("again"), F.lit(False))).first()
+    k = keep.select(F.col("key").alias("__key"), "again")
+    d = docs.withColumn("__key", F.xxhash64(doc_id, text))
+    pick = lambda k: d.join(F.broadcast(k) if size <= BROADCAST_ROWS else k, "__key", "left_semi")
+    if not again:
+        return pick(k).select(*docs.columns)
+    return pick(k.where("not again")).unionByName(pick(k.where("again")).dropDuplicates(["__key"])).select(*docs.columns)
