@@ -21,11 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of five-word shingles at 0.8 connect: that with the smallest id."""
-    d = docs.withColumn("__row", F.monotonically_increasing_id())
-    g = ngram_join.link(d.withColumnRenamed("doc_id", "__id").withColumn("doc_id", F.col("__row")))
-    keep = g.where("doc_id = component_id").select(F.col("doc_id").alias("__row"))
-    return d.join(keep, "__row", "left_semi").select(*docs.columns)
+    """One document of each group that links of five-word shingles at 0.8 connect: that with the smallest id (null last).
+
+    Of rows that repeat that id the one with the smallest hash stays, of wholly equal rows one.  Documents without words (null
+    and empty texts) link with nothing and all stay."""
+    return ngram_join.representatives(docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
