@@ -1,28 +1,52 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Two histograms of each document are compared with references of every language by Jensen-Shannon distance (base 2, 0 to 1):
-characters by class, and the language's commonest short words against all other words.  References are counted over all
-documents, by their language label (null is a label of its own); the nearest language decides, so a wrong label does no
-harm.  The first ``free_digits`` digits beyond a language's share are not held against a document.  A document is judged on characters only from ``min_chars`` on and on words only from ``min_words`` on; references
-need ``min_reference`` words.  The reference table holds the ``max_langs`` labels with most words and ``top`` words each.
+characters by class, and the language's commonest words, of any length, against all other words.  The nearest language decides,
+so a wrong label does no harm.
+
+References are counted over the words of all documents by their language label (null is a label of its own), but for texts of
+under ten words or with more than ``max_symbols`` symbols.  The ``max_langs`` labels with most words get one if they have
+``min_reference`` words, of ``top`` words each.  Documents whose label has none pass the divergence test: there is nothing to
+hold them against.
+
+Guards.  A document is judged on characters only from ``min_chars`` on and on words only from ``min_words`` on.  A sample of n
+words strays from its own source by (bins - 1) / (8 n ln 2) in squared distance on average; this much is taken off.  The first
+``free_digits`` digits beyond a language's share are not held against a document.
 
 Base rules come first: too few words, or too large a share of words in repeated five-word windows.
 
-Null and empty texts have no words and fail the base rules.  Repeated rows are judged alike.  Other columns pass through.
+Null and empty texts have no words and fail the base rules.  Repeated rows are judged alike.  An empty table gives no rows.
+Other columns, whatever their names, are ignored by ``verdicts`` and kept by ``passing``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise
+from .common import SPACE, Scratch
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+DIGITS = "0123456789"
 WINDOW = 5
-#: Word characters by class: lower-case and other letters, upper-case letters, digits, symbols, the rest.
+#: Word characters by class: lower-case and other letters, upper-case letters, ASCII digits, symbols, the rest.
 CLASSES = ("letters", "upper", "digits", "symbols", "rest")
+#: Largest share of symbols in a text that counts for a reference.
+MAX_SYMBOLS = 0.02
+
+
+@dataclass
+class Reference:
+    """A label's class shares (in the order of CLASSES) and its commonest words with their shares."""
+
+    lang: str | None
+    classes: list[float]
+    words: list[str]
+    shares: list[float]
 
 
 def bind(value: Column, body) -> Column:
@@ -51,92 +75,105 @@ def repeated_words(w: Column) -> Column:
         windows = F.slice(F.transform(ws, lambda w, i: F.xxhash64(w, *(F.get(ws, i + k) for k in range(1, WINDOW)))), F.lit(1), F.greatest(F.size(ws) - (WINDOW - 1), F.lit(0)))
         return bind(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(positions(h))))
 
-    return F.when(F.size(w) < WINDOW, F.lit(0).cast("long")).otherwise(bind(w, whole))
+    return F.when(F.size(w) < WINDOW, F.lit(0).cast("long")).otherwise(whole(w))
 
 
-def features(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang"), short: int = 4) -> DataFrame:
-    """The kept columns, base counts, ``classes`` (counts in the order of CLASSES) and ``short_words`` (lower-case)."""
+def classes(text: Column) -> list[Column]:
+    """Counts in the order of CLASSES; white space belongs to none."""
+    without = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    left = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("long")
+    letters, upper, digits, symbols = left(r"\P{L}+"), left(r"\P{Lu}+"), without(DIGITS), without(SYMBOLS)
+    return [letters - upper, upper, digits, symbols, F.greatest(F.lit(0).cast("long"), F.length(F.translate(text, BLANKS, "")) - letters - digits - symbols)]
+
+
+def references(docs: DataFrame, *, text: str = "text", lang: str = "lang", top: int = 30, max_langs: int = 32, min_reference: int = 2000) -> list[Reference]:
+    """The references of docs: max_langs rows of top words at most."""
+    scratch = Scratch(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
-    w = words(F.col(text))
-    rest = lambda pattern: F.length(F.regexp_replace(t, pattern, "")).cast("long")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    d = docs.select(
-        *keep,
-        w.alias("__words"),
-        F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        rest(r"\P{L}+").alias("__letters"), rest(r"\P{Lu}+").alias("__upper"), rest(r"\P{Nd}+").alias("__digits"),
-    )
-    classes = F.array(F.col("__letters") - F.col("__upper"), F.col("__upper"), F.col("__digits"), F.col("n_symbols"), F.greatest(F.lit(0), F.col("word_chars") - F.col("__letters") - F.col("__digits") - F.col("n_symbols")))
-    return d.select(*keep, F.size("__words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("__words")).alias("n_repeat_words"), classes.alias("classes"), F.filter(F.transform("__words", F.lower), lambda x: F.length(x) <= short).alias("short_words"))
-
-
-def references(f: DataFrame, *, lang: str = "lang", top: int = 30, max_langs: int = 32, min_reference: int = 2000) -> list[tuple[str | None, list[float], list[str], list[float]]]:
-    """(language, class shares, common words, their shares) of each language, counted over all of f: at most max_langs rows."""
-    sums = f.groupBy(F.col(lang).alias("lang")).agg(F.sum("n_words").alias("n"), *(F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))))
-    rows = sums.where(F.col("n") >= min_reference).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
-    counts = f.select(F.col(lang).alias("lang"), F.explode("short_words").alias("word")).groupBy("lang", "word").count()
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    symbols = F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
+    d = docs.where(symbols <= MAX_SYMBOLS * F.length(F.translate(t, BLANKS, ""))).select(F.col(lang).alias("lang"), words(F.col(text)).alias("w"))
+    counts = d.where(F.size("w") >= 10).select("lang", F.explode("w").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = scratch.save(counts, "quality-words")
+    kinds = classes(F.col("word"))
+    sums = counts.groupBy("lang").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * k).alias(f"c{i}") for i, k in enumerate(kinds)))
+    chosen = sums.where(F.col("n") >= min_reference).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    some = F.lit(False)
+    for r in chosen:
+        some = some | F.col("lang").eqNullSafe(F.lit(r["lang"]))
+    folded = counts.where(some).groupBy("lang", F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     best: dict = {}
-    for r in counts.withColumn("r", rank).where(F.col("r") <= top).orderBy("lang", "r").limit(top * 4 * max_langs).collect():
-        best.setdefault(r["lang"], []).append((r["word"], r["count"]))
+    for r in folded.withColumn("r", rank).where(F.col("r") <= top).orderBy("lang", "r").collect():  # top rows of each chosen label
+        best.setdefault(r["lang"], []).append((r["word"], r["n"]))
+    scratch.keep()
     out = []
-    for r in rows:
-        total = sum(r[f"c{i}"] for i in range(len(CLASSES))) or 1
-        own = best.get(r["lang"], [])
-        out.append((r["lang"], [r[f"c{i}"] / total for i in range(len(CLASSES))], [w for w, _ in own], [c / r["n"] for _, c in own]))
+    for r in chosen:
+        own, total = best.get(r["lang"], []), sum(r[f"c{i}"] for i in range(len(CLASSES))) or 1
+        out.append(Reference(r["lang"], [r[f"c{i}"] / total for i in range(len(CLASSES))], [w for w, _ in own], [c / r["n"] for _, c in own]))
     return out
 
 
 def jsd(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of shares."""
+    """Jensen-Shannon divergence (the squared distance) of two arrays of shares."""
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
     terms = F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
+    return F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2)
 
 
-def distances(f: DataFrame, refs: list, *, free_digits: int = 60) -> DataFrame:
-    """f with class_distance and word_distance: the least over the references; null without references or counts.
+def base_failed(n_words: Column, n_repeat: Column) -> Column:
+    return (n_words < 10) | (100 * n_repeat > 20 * n_words)
 
-    Up to ``free_digits`` digits above the reference's share don't count among the classes: a few numbers (cards, phones,
-    addresses, tokens) in a short text are for later stages to treat and say nothing of its quality."""
+
+def judged(refs: list[Reference], *, text: str = "text", lang: str = "lang", min_chars: int = 200, min_words: int = 50, max_class: float = 0.2, max_word: float = 0.23, free_digits: int = 60) -> Column:
+    """One struct per document: base counts, base_failed, kept and the two distances (null without references or counts)."""
     array = lambda xs, kind: F.array(*map(F.lit, xs)).cast(f"array<{kind}>")
-    common = sorted({w for _, _, ws, _ in refs for w in ws})
+    common = sorted({w for r in refs for w in r.words})
     digit = CLASSES.index("digits")
+    t = F.coalesce(F.col(text), F.lit(""))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    least = lambda xs: F.array_min(F.array(*xs)) if xs else F.lit(None).cast("double")
 
-    def by_classes(q: list[float]) -> Column:
-        n = F.get("classes", F.lit(digit))
-        own = F.greatest(F.least(n, q[digit] * F.col("word_chars")), n - free_digits)
-        share = lambda own: F.transform("classes", lambda c, i: F.when(i == digit, own).otherwise(c) / F.greatest(F.lit(1), F.col("word_chars") - n + own))
-        return bind(bind(own, share), lambda p: jsd(p, array(q, "double")))
+    def counted(ws: Column) -> Column:
+        found = F.filter(F.transform(ws, F.lower), lambda w: w.isin(common)) if common else F.array().cast("array<string>")
+        fields = [F.size(ws).cast("long").alias("n_words"), F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"), bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), repeated_words(ws).alias("n_repeat_words")]
+        return F.struct(*fields, F.array(*classes(t)).alias("classes"), found.alias("found"))
 
-    by_class = [by_classes(c) for _, c, _, _ in refs]
+    def by_classes(f: Column, q: list[float]) -> Column:
+        n = F.get(f["classes"], F.lit(digit))
+        own = F.greatest(F.least(n, q[digit] * f["word_chars"]), n - free_digits)
+        share = lambda own: F.transform(f["classes"], lambda c, i: F.when(i == digit, own).otherwise(c) / F.greatest(F.lit(1), f["word_chars"] - n + own))
+        return bind(bind(own, share), lambda p: F.sqrt(jsd(p, array(q, "double"))))
 
-    def by_word(found: Column, ws: list[str], q: list[float]) -> Column:
-        own = F.transform(array(ws, "string"), lambda w: (F.size(found) - F.size(F.array_remove(found, w))) / F.greatest(F.lit(1), F.col("n_words")))
+    def by_words(f: Column, r: Reference) -> Column:
+        own = F.transform(array(r.words, "string"), lambda w: (F.size(f["found"]) - F.size(F.array_remove(f["found"], w))) / F.greatest(F.lit(1), f["n_words"]))
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-        ref = [*q, max(0.0, 1 - sum(q))]
-        return bind(own, lambda o: jsd(F.concat(o, F.array(F.greatest(F.lit(0.0), 1 - total(o)))), array(ref, "double")))
+        noise = len(r.words) / (8 * math.log(2)) / F.greatest(F.lit(1), f["n_words"])
+        return bind(own, lambda o: F.sqrt(F.greatest(F.lit(0.0), jsd(F.concat(o, F.array(F.greatest(F.lit(0.0), 1 - total(o)))), array([*r.shares, max(0.0, 1 - sum(r.shares))], "double")) - noise)))
 
-    least = lambda xs: F.array_min(F.array(*xs)) if xs else F.lit(None).cast("double")
-    found = F.filter("short_words", lambda w: w.isin(common)) if common else F.col("short_words")
-    word = bind(found, lambda x: least([by_word(x, ws, q) for _, _, ws, q in refs if ws])) if common else F.lit(None).cast("double")
-    return f.withColumns({"class_distance": least(by_class), "word_distance": word})
+    def measured(f: Column) -> Column:
+        return F.struct(f.alias("f"), least([by_classes(f, r.classes) for r in refs]).alias("c"), least([by_words(f, r) for r in refs if r.words]).alias("w"))
 
+    known = F.lit(False)
+    for r in refs:
+        known = known | F.col(lang).eqNullSafe(F.lit(r.lang))
 
-def base_failed(n_words: Column, n_repeat: Column) -> Column:
-    return (n_words < 10) | (100 * n_repeat > 20 * n_words)
+    def verdict(m: Column) -> Column:
+        f = m["f"]
+        failed = base_failed(f["n_words"], f["n_repeat_words"])
+        diverges = ((f["word_chars"] >= min_chars) & (m["c"] > max_class)) | ((f["n_words"] >= min_words) & (m["w"] > max_word))
+        counts = [f[c].alias(c) for c in ("n_words", "word_chars")] + [F.get(f["classes"], F.lit(CLASSES.index("symbols"))).alias("n_symbols")] + [f[c].alias(c) for c in ("n_dup_lines", "n_repeat_words")]
+        return F.struct(*counts, failed.alias("base_failed"), (~failed & ~(known & F.coalesce(diverges, F.lit(False)))).alias("kept"), m["c"].alias("class_distance"), m["w"].alias("word_distance"))
+
+    return bind(bind(bind(words(F.col(text)), counted), measured), verdict)
+
+
+def verdicts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", reference: dict | None = None, **limits) -> DataFrame:
+    """doc_id, base counts, base_failed, kept and distances of every document."""
+    refs = references(docs, text=text, lang=lang, **(reference or {}))
+    return docs.select(F.col(doc_id).alias("doc_id"), judged(refs, text=text, lang=lang, **limits).alias("__v")).select("doc_id", "__v.*")
 
 
-def verdicts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", min_chars: int = 200, min_words: int = 50, max_class: float = 0.15, max_word: float = 0.45, max_symbols: float = 0.02, free_digits: int = 60, **reference) -> DataFrame:
-    """doc_id, base counts, distances, base_failed and kept of every document."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    f = materialise(features(d), "quality")
-    typical = f.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")) & (F.col("n_symbols") <= max_symbols * F.col("word_chars")))
-    f = distances(f, references(typical, **reference), free_digits=free_digits)
-    diverges = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word))
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(diverges, F.lit(False))).alias("kept"), "class_distance", "word_distance")
+def passing(docs: DataFrame, *, text: str = "text", lang: str = "lang", reference: dict | None = None, **limits) -> DataFrame:
+    """The rows of docs that are kept, all columns."""
+    refs = references(docs, text=text, lang=lang, **(reference or {}))
+    return docs.where(judged(refs, text=text, lang=lang, **limits)["kept"])
