@@ -8,7 +8,9 @@ targets.  A source's slots run through its blocks in passes; slot j is block ``p
 source and the pass, so each pass takes every block once before any is taken again, and no word more than ``most`` times.
 
 Null texts have no words and null sources form one source.  An empty table gives no rows.  Rows that repeat an id are
-documents of their own.  A source without words has target 0.  Equal seeds give equal mixes.
+documents of their own; equal rows are interchangeable.  A source without words has target 0.  Extra columns are ignored, or
+kept by ``mixed_documents``, whatever their names.  Equal seeds give equal mixes, however the rows are split or ordered: documents
+are named by a hash of their id, source and text, not by row numbers.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .feistel import permute
-from .quality import words
+from .common import Scratch
+from .feistel import permute, seeds
+from .quality import bind, words
 from .spans import blocks_of, with_offsets
 
 BLOCK, SHARD = 256, 4096
@@ -44,11 +47,20 @@ def targets(sizes: DataFrame, *, most: int = 3) -> DataFrame:
     return s.withColumn("target", F.when(F.col("__full"), full.cast("double")).otherwise(F.col("weight") * level["share"])).drop("__share", "__full")
 
 
-def plan(docs: DataFrame, *, seed: str = "mix-0", text: str = "text", source: str = "source", most: int = 3, block: int = BLOCK, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces): row, size, number, source_size, target per document; row, at, words, times per piece in a taken block."""
+def row_key(doc_id: str, source: str, text: str):
+    """A hash of a row, nulls told apart."""
+    return F.xxhash64(*(x for c in (doc_id, source, text) for x in (F.col(c).isNull(), F.col(c))))
+
+
+def plan(docs: DataFrame, scratch: Scratch, *, seed: str = "mix-0", doc_id: str = "doc_id", text: str = "text", source: str = "source", most: int = 3, block: int = BLOCK, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(documents, pieces): key, doc_id, copies (equal rows), size, source_size, target per document; key, copy, at, words, times
+    per piece in a taken block."""
     spark = docs.sparkSession
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"))
-    s = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), most=most)
+    d = docs.select(row_key(doc_id, source, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"))
+    d = scratch.save(d, "mix-rows")  # texts are read once
+    d = scratch.save(d.groupBy("key").agg(*(F.first(c).alias(c) for c in ("doc_id", "source", "size")), F.count("*").alias("copies")), "mix-documents")
+    d = d.withColumn("all", F.col("size") * F.col("copies"))
+    s = targets(d.groupBy("source").agg(F.sum("all").alias("source_size")), most=most)
     s = s.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
     s = s.withColumn("quota", F.when(F.col("blocks") > 0, F.least(F.col("blocks") * most, F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))).otherwise(0).cast("long"))
     rows = s.orderBy("number").limit(MOST_SOURCES + 1).collect()
@@ -82,50 +94,52 @@ def plan(docs: DataFrame, *, seed: str = "mix-0", text: str = "text", source: st
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             number, slot = (b.column(c).to_numpy(zero_copy_only=False) for c in ("number", "slot"))
-            out = np.zeros(len(number), np.int64)
             size = blocks[number - 1]
-            turn = slot // size
-            pairs = np.stack([number, turn], axis=1)
-            for n, t in np.unique(pairs, axis=0):
-                at = (number == n) & (turn == t)
-                out[at] = permute(slot[at] % size[at], int(blocks[n - 1]), f"{seed}/{n}/{t}")
+            out = permute(slot % size, size, seeds(seed, number, slot // size))
             yield pa.RecordBatch.from_arrays([b.column("number"), b.column("shard"), b.column("slot"), pa.array(out)], names=["number", "shard", "slot", "block"])
 
     taken = slots.mapInArrow(to_blocks, "number long, shard long, slot long, block long").groupBy("number", "block").agg(F.count("*").alias("times"))
     d = d.withColumn("__key", F.coalesce(F.col("source").cast("string"), F.lit("\0null")))
     numbers = s.withColumn("__key", F.coalesce(F.col("source").cast("string"), F.lit("\0null"))).drop("source")
-    d = with_offsets(d.join(F.broadcast(numbers), "__key"), "size", by=["number"], order=["row"]).drop("__key")  # at most MOST_SOURCES rows
-    parts = d.withColumn("block", F.explode(blocks_of(F.col("offset"), F.col("size"), block)))
-    a = F.greatest(F.col("offset"), F.col("block") * block)
-    b = F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block)
-    pieces = parts.select("row", "number", "block", (a - F.col("offset")).alias("at"), (b - a).alias("words")).join(taken, ["number", "block"])
-    return d, pieces.select("row", "at", "words", "times")
+    d = with_offsets(d.join(F.broadcast(numbers), "__key"), "all", by=["number"], order=["key"]).drop("__key")  # at most MOST_SOURCES rows
+    parts = d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("start", F.col("offset") + F.col("copy") * F.col("size"))
+    parts = parts.withColumn("block", F.explode(blocks_of(F.col("start"), F.col("size"), block)))
+    a = F.greatest(F.col("start"), F.col("block") * block)
+    b = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
+    pieces = parts.select("key", "copy", "number", "block", (a - F.col("start")).alias("at"), (b - a).alias("words")).join(taken, ["number", "block"])
+    return d, pieces.select("key", "copy", "at", "words", "times")
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", **parameters) -> DataFrame:
+def mix(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of every document."""
-    d, pieces = plan(docs, **parameters)
-    taken = pieces.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"))
-    return ids.join(d, "row").join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    scratch = Scratch(docs.sparkSession)
+    d, pieces = plan(docs, scratch, **parameters)
+    taken = pieces.groupBy("key", "copy").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return d.join(taken, ["key", "copy"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, *, text: str = "text", **parameters) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
     """The mix as rows with docs' columns: copy c of a document holds its words in blocks taken c times or more.
 
     A document that the mix doesn't take is absent, one taken whole keeps its text as it is; partly taken ones keep the taken
     words, joined by one blank.
     """
-    _, pieces = plan(docs, text=text, **parameters)
-    p = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("__pieces"))  # a document's own blocks
-    d = docs.withColumn("row", F.monotonically_increasing_id())
-    d = d.select(*(F.col(c) for c in docs.columns), F.col("row").alias("__row")).join(p.withColumnRenamed("row", "__row"), "__row")
+    scratch = Scratch(docs.sparkSession)
+    rows, pieces = plan(docs, scratch, doc_id=doc_id, text=text, source=source, **parameters)
+    p = pieces.groupBy("key", "copy").agg(F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("__pieces"))  # a document's own blocks
+    p = scratch.save(p.withColumnRenamed("key", "__key").withColumnRenamed("copy", "__row"), "mix-pieces")
+    again = scratch.save(rows.where("copies > 1").select(F.col("key").alias("__key")), "mix-again")
+    scratch.keep("mix-pieces", "mix-again")
+    d = docs.withColumn("__key", row_key(doc_id, source, text))
+    if again.isEmpty():
+        d = d.join(p, "__key")
+    else:  # of equal rows one takes the pieces of all
+        several = d.join(again, "__key", "left_semi").dropDuplicates(["__key"])
+        d = d.join(p.join(again, "__key", "left_anti"), "__key").unionByName(several.join(p, "__key"))
     d = d.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("__pieces", lambda x: x["times"])))))
-    own = F.filter("__pieces", lambda x: x["times"] >= F.col("__copy"))
-    d = d.withColumn("__own", own)
+    d = d.withColumn("__own", F.filter("__pieces", lambda x: x["times"] >= F.col("__copy")))
     got = F.aggregate("__own", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    w = words(F.col(text))
-    from .quality import bind
-
-    some = bind(w, lambda ws: F.array_join(F.transform("__own", lambda x: F.array_join(F.slice(ws, (x["at"] + 1).cast("int"), x["words"].cast("int")), " ")), " "))
-    return d.withColumn(text, F.when(got == F.size(w), F.col(text)).otherwise(some)).select(*docs.columns)
+    some = lambda ws: F.array_join(F.transform("__own", lambda x: F.array_join(F.slice(ws, (x["at"] + 1).cast("int"), x["words"].cast("int")), " ")), " ")
+    picked = bind(words(F.col(text)), lambda ws: F.when(got == F.size(ws), F.col(text)).otherwise(some(ws)))
+    return d.withColumn(text, picked).select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkpulse.llm import bpe, components, language_id, media, mixing, ngram_join, pii, quality, training_order, warc, wrapper
 from sparkpulse.llm.common import shared_dir
-from sparkpulse.llm.feistel import permute
+from sparkpulse.llm.feistel import permute, seeds
 from sparkpulse.llm.spans import with_offsets
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "a b"), (5, "a b"), (6, "Ein Satz, é 日本 😀 it's"), (7, "w " * 9000), (8, "x" * 30000)]
@@ -34,6 +34,8 @@ def empty(odd):
 def test_feistel():
     for n in (1, 2, 3, 5, 16, 17, 1000, 4097):
         assert sorted(permute(np.arange(n), n, "k")) == list(range(n))
+        both = permute(np.tile(np.arange(n), 2), n, seeds("k", np.repeat([1, 2], n)))
+        assert sorted(both[:n]) == sorted(both[n:]) == list(range(n))
 
 
 def test_bpe_equals_the_library():
@@ -113,19 +115,58 @@ def test_op4(spark, odd, empty):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == b
         assert r.base_failed == (b[0] < 10 or 100 * b[4] > 20 * b[0]) and not (r.base_failed and r.kept)
     assert quality.verdicts(odd).count() == 10 and quality.verdicts(empty).count() == 0
-    clean = " ".join(f"the {w} of a {v} is in" for w, v in zip("house tree river road cloud".split() * 30, "man dog cat bird fish".split() * 30, strict=True))
-    words = [w if i % 9 else f"w{i}" for i, w in enumerate(clean.split() * 9)]
-    rng.shuffle(words)
-    good = " ".join(words)
-    junk = " ".join(w + "###$$$" for w in words)
-    docs = spark.createDataFrame([(i, good, "en") for i in range(20)] + [(99, junk, "en")], "doc_id long, text string, lang string")
-    d = {r.doc_id: r for r in quality.verdicts(docs).collect()}
-    assert d[99].class_distance > 0.15 > d[1].class_distance and not d[99].kept
+    prose, junk = english(rng), None
+    rows = [(i, prose(120), "en") for i in range(60)]
+    # other letters' classes, none of the common words
+    salad = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(300))
+    junk = " ".join(w + "###$$$" for w in prose(200).split())
+    docs = spark.createDataFrame([*rows, (98, salad, "en"), (99, junk, "en"), (100, salad, "xx")], "doc_id long, text string, lang string")
+    refs = quality.references(docs)
+    assert [r.lang for r in refs] == ["en"]
+    for r in quality.verdicts(docs).collect():
+        text = {k: t for k, t, _ in rows}.get(r.doc_id, junk if r.doc_id == 99 else salad)
+        c, w = distances_by_force(text, refs[0])
+        assert abs(r.class_distance - c) < 1e-9 and abs(r.word_distance - w) < 1e-9
+        # no reference for xx: kept
+        assert r.kept == (r.doc_id not in (98, 99))
+        if r.doc_id == 98:
+            assert r.class_distance < 0.2 and r.word_distance > 0.23
+    assert {r.doc_id for r in quality.passing(docs).collect()} == {*range(60), 100} and quality.passing(odd).columns == odd.columns
+
+
+def english(rng):
+    """Prose in which common words have the share they have in English."""
+    rare = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    common = "the of and to a in is that it for on with as was by".split()
+    return lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(rare) for _ in range(n))
+
+
+def distances_by_force(text, ref):
+    import math
+    import unicodedata
+
+    def jsd(p, q):
+        part = lambda a, b: a * math.log2(2 * a / (a + b)) if a > 0 else 0.0
+        return max(0.0, sum(part(a, b) + part(b, a) for a, b in zip(p, q, strict=True)) / 2)
+
+    w = text.split()
+    chars = [c for x in w for c in x]
+    kind = lambda c: "digits" if c in quality.DIGITS else "symbols" if c in quality.SYMBOLS else "upper" if unicodedata.category(c) == "Lu" else "letters" if unicodedata.category(c)[0] == "L" else "rest"
+    n = Counter(map(kind, chars))
+    digit = quality.CLASSES.index("digits")
+    own = max(min(n["digits"], ref.classes[digit] * len(chars)), n["digits"] - 60)
+    total = max(1, len(chars) - n["digits"] + own)
+    c = math.sqrt(jsd([(own if k == "digits" else n[k]) / total for k in quality.CLASSES], ref.classes))
+    f = Counter(x.lower() for x in w)
+    p = [f[x] / len(w) for x in ref.words]
+    d = jsd([*p, max(0.0, 1 - sum(p))], [*ref.shares, max(0.0, 1 - sum(ref.shares))])
+    return c, math.sqrt(max(0.0, d - len(ref.words) / (8 * math.log(2)) / len(w)))
 
 
 def test_op4_keeps_short_texts_with_numbers(spark):
     rng = random.Random(5)
-    prose = [" ".join(rng.choice("the house of a man is in every river and no cloud by night".split()) + rng.choice("abcdefg") for _ in range(60)) for _ in range(40)]
+    one = english(rng)
+    prose = [one(60) for _ in range(40)]
     numbers = f"{prose[0]} 4111111111111111 +1 (826) 555-4081 190.137.223.204"
     digits = " ".join(str(rng.randint(1000, 99999)) for _ in range(70))
     rows = [*enumerate(prose), (98, numbers), (99, digits)]
@@ -215,7 +256,7 @@ def components_by_force(texts):
     return [len(s) for s in sets], [find(i) for i in range(len(sets))]
 
 
-def test_op7(spark, empty):
+def test_op7(spark, empty, monkeypatch):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(40)]
     bases = [[rng.choice(words) for _ in range(rng.choice([3, 5, 6, 8, 9, 12, 20, 40, 80]))] for _ in range(25)]
@@ -231,6 +272,36 @@ def test_op7(spark, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs).collect()}
     assert got == {i: (sizes[i], roots[i]) for i in range(len(texts))}
     assert ngram_join.link(empty).count() == 0
+    # dealt anew, with repeated rows and null ids, and no broadcast
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 8)
+    more = docs.unionByName(docs.where("doc_id % 7 = 0")).unionByName(docs.where("doc_id = 20").withColumn("doc_id", F.lit(None).cast("long"))).repartition(9, "doc_id")
+    rows = ngram_join.link(more).collect()
+    assert len(rows) == more.count() and all((r.n_shingles, r.component_id) == (sizes[r.doc_id], roots[r.doc_id]) for r in rows if r.doc_id is not None)
+    assert {r.component_id for r in rows if r.doc_id is None} == {roots[20]}
+    want = Counter({i: 1 for i in range(len(texts)) if sizes[i] and roots[i] == i}) + Counter({i: 1 + (i % 7 == 0) for i in range(len(texts)) if not sizes[i]})
+    kept = ngram_join.representatives(more)
+    assert Counter(r.doc_id for r in kept.collect()) == want and kept.columns == docs.columns
+    # of two components with one id, and two with none, each keeps a row
+    odd_ids = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (None, "k l m n o p"), (None, "q r s t u v"), (None, "q r s t u v")], "doc_id long, text string")
+    assert sorted(r.text for r in ngram_join.representatives(odd_ids).collect()) == ["a b c d e f", "k l m n o p", "q r s t u v", "u v w x y z"]
+
+
+def test_op7_crowds(spark):
+    """Many heavily edited copies of one text, which rarely link, and unlike texts around one passage."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    base, passage = [rng.choice(words) for _ in range(120)], [rng.choice(words) for _ in range(60)]
+    texts = []
+    for _ in range(160):
+        b = list(base)
+        for _ in range(rng.randint(0, 9)):
+            b[rng.randrange(len(b))] = rng.choice(words)
+        texts.append(" ".join(b))
+        texts.append(" ".join([*(rng.choice(words) for _ in range(rng.randint(1, 30))), *passage]))
+    sizes, roots = components_by_force(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: (sizes[i], roots[i]) for i in range(len(texts))} and len(set(roots)) > 40
 
 
 def test_components_in_chunks(spark, monkeypatch):
@@ -329,7 +400,15 @@ def test_op10(spark, odd, empty):
         assert abs(g.target.iloc[0] - want[s]) < 1e-6 * want[s] + 1e-6 and abs(g.taken.sum() - want[s]) <= 40
     texts = mixing.mixed_documents(docs, block=32).select("doc_id", F.size(mixing.words(F.col("text"))).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n")).toPandas()
     assert dict(zip(texts.doc_id, texts.n, strict=True)) == {r.doc_id: r.taken for r in got.itertuples() if r.taken}
-    assert mixing.mix(odd).count() == 10 and mixing.mix(empty).count() == 0
+    assert mixing.mix(odd).count() == 10 and mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+    # however the rows are dealt, and with repeated rows
+    again = mixing.mix(docs.repartition(13, "doc_id"), block=32).toPandas()
+    assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
+    twice = docs.unionByName(docs.where("doc_id < 200")).repartition(7, "text")
+    m = mixing.mix(twice, block=32).toPandas()
+    assert len(m) == 801 and (m.taken <= 3 * m["size"]).all()
+    texts = mixing.mixed_documents(twice, block=32).select("doc_id", F.size(mixing.words(F.col("text"))).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n")).toPandas()
+    assert dict(zip(texts.doc_id, texts.n, strict=True)) == {k: v for k, v in m.groupby("doc_id").taken.sum().items() if v}
 
 
 def test_offsets(spark):
@@ -345,6 +424,7 @@ def test_pipeline(spark):
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     kept = {r.doc_id for r in quality.verdicts(docs).where("kept").collect()}
+    assert len(kept) > 100
     d = corpus_pipeline.quality_rules(spark, docs, "")
     assert {r.doc_id for r in d.collect()} == kept and d.columns == docs.columns
     rows = sorted((r.doc_id, r.text) for r in d.collect())
