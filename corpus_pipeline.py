@@ -14,10 +14,10 @@ from sparkpulse.llm.common import materialise, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and don't diverge from every language's reference."""
-    d = docs.withColumn("__row", F.monotonically_increasing_id())
-    v = quality.verdicts(d, doc_id="__row").where("kept").select(F.col("doc_id").alias("__row"))
-    return d.join(v, "__row", "left_semi").select(*docs.columns)
+    """Documents that pass the base rules and don't diverge from every language's reference.
+
+    Null and empty texts, and texts of under ten words, go; equal rows are judged alike and all stay or go."""
+    return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +29,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, validated numbers, dates and addresses replaced."""
+    """All documents, validated numbers, dates and addresses replaced; null and empty texts stay as they are."""
     return with_chars(pii.pseudonymise(docs), docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources at their target weights: documents as often, and as much of them, as it takes."""
+    """The mix of sources at their target weights: documents as often, and as much of them, as it takes.
+
+    Texts without words (null and empty ones) have nothing to take and go; equal rows count as documents of their own."""
     return with_chars(mixing.mixed_documents(docs), docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 16-bit) of each row's text."""
+    """Token ids (little-endian unsigned 16-bit) of each row's text; a null text has none."""
     return bpe.encode_column(docs, keep=["doc_id", "source"], dtype="<u2")
 
 
