@@ -5,8 +5,7 @@ match that the automaton has from the current position on, so the number of phra
 Merhav).  The language that needs the fewest phrases wins; the score is its margin, 1 - fewest / next fewest, turned into
 [0, 1] by a logistic curve over the phrases.
 
-Each automaton covers a bounded sample: of the labelled documents with ``min_chars`` to ``max_chars`` characters, the
-``sample_docs`` with the smallest hash of their id per language, joined and cut at ``sample_bytes``.  Every text is parsed
+Each automaton covers a bounded sample: ``sample_docs`` labelled texts per language (``sample``), joined and cut at ``sample_bytes``.  Every text is parsed
 whole, in segments of ``SEGMENT`` bytes (no phrase crosses the end of a segment), so the automata run over many segments
 in step as table lookups.
 
@@ -119,21 +118,26 @@ class Model:
         return total
 
 
-def sample(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 64, sample_bytes: int = 24_000, min_chars: int = 200, max_chars: int = 8000, max_langs: int = 200) -> dict[str, bytes]:
-    """Up to sample_bytes of text per language, on the driver: bounded by the parameters (max_langs languages, the first in order)."""
-    keyed = labelled.where(F.col(lang).isNotNull() & F.length(text).between(min_chars, max_chars))
-    h = F.xxhash64(F.col(doc_id).cast("string")).alias("h")
-    ranked = keyed.select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), h).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= sample_docs)
-    chosen = ranked.orderBy("lang", "r").limit(sample_docs * max_langs).collect()
-    ids = {(r.lang, r.id): r.r for r in chosen}
-    if not ids:
+def sample(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample_docs: int = 128, sample_bytes: int = 24_000, piece: int = 200, max_langs: int = 200) -> dict[str, bytes]:
+    """Up to sample_bytes of text per language, on the driver: bounded by the parameters (max_langs languages, the first in order).
+
+    Of each language sample_docs different texts with a letter are fitted, those of ``piece`` characters or more first, then by
+    hash of the text, with ``piece`` characters each: many short pieces outweigh a few wrong labels.  Null labels and texts are left
+    out, ids aren't read."""
+    n = F.length(text)
+    h = F.xxhash64(text)
+    keyed = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    ranked = keyed.select(F.col(lang).alias("lang"), (n < piece).alias("late"), h.alias("h")).groupBy("lang", "late", "h").agg(F.lit(1).alias("one"))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("late", "h"))).where(F.col("r") <= sample_docs)
+    chosen = {(r.lang, r.h): r.r for r in ranked.orderBy("lang", "r").limit(sample_docs * max_langs).collect()}
+    if not chosen:
         return {}
-    rows = keyed.where(F.col(doc_id).isin(sorted({i for _, i in ids}))).select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.col(text).alias("text")).collect()
+    picked = keyed.where(h.isin(sorted({k for _, k in chosen}))).select(F.col(lang).alias("lang"), h.alias("h"), F.substring(text, 1, piece).alias("text"))
     parts: dict[str, list] = {}
-    for r in rows:
-        if (r.lang, r.id) in ids:
-            parts.setdefault(r.lang, []).append((ids[r.lang, r.id], r.text))
-    return {k: "\n".join(t for _, t in sorted(v)).encode()[:sample_bytes] for k, v in parts.items()}
+    for r in picked.groupBy("lang", "h").agg(F.min("text").alias("text")).collect():  # a row for each chosen text
+        if (r.lang, r.h) in chosen:
+            parts.setdefault(r.lang, []).append((chosen[r.lang, r.h], r.text))
+    return {k: "\n".join(t for _, t in sorted(v)).encode("utf-8", "replace")[:sample_bytes] for k, v in parts.items()}
 
 
 def predict(df: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), batch: int = 500) -> DataFrame:
