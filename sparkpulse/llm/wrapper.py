@@ -2,13 +2,14 @@
 
 Pages of a host are aligned with reference pages of the same host by simple tree matching: the largest top-down mapping
 of two DOM trees that keeps tags, order and parents.  A text node whose mapped node holds the same text in every usable
-usable reference, two at least, is template; varying ones are content.  References are the host's pages of smallest and
+reference, two at least, is template; varying ones are content.  References are the host's pages of smallest and
 largest content hash under two seeds, joined by host.  A reference is usable if it isn't the page itself nor a near copy (most of the page's text constant).
 What every page fills differently without being content (menus, adverts, footers, forms, comments) is known by element
 name and by class, id or role; of the rest the article elements count, else main, else the body.
 
 Null or empty html gives an empty text.  White space, no-break spaces too, becomes one space inside a block; blocks are
-joined by one newline.  Pages without a host are aligned with one another.  Repeated rows give equal texts.
+joined by one newline.  Pages without a host are aligned with one another.  Repeated rows give equal texts.  Markup may be nested
+to any depth.  An empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -125,16 +126,25 @@ class Matcher:
         self.weights: dict[tuple[int, int], int] = {}
 
     def weight(self, a: Node, b: Node) -> int:
-        """Mapped pairs of the largest mapping of a and b."""
+        """Mapped pairs of the largest mapping of a and b; inner pairs come first, on a stack of its own, so any depth will do."""
+        if (w := self.known(a, b)) is not None:
+            return w
+        todo = [(a, b, False)]
+        while todo:
+            x, y, ready = todo.pop()
+            if ready:
+                self.weights[x.shape, y.shape] = 1 + self.table(x.kids, y.kids)[-1][-1]
+            elif self.known(x, y) is None:
+                todo.append((x, y, True))
+                todo.extend((p, q, False) for p in x.kids for q in y.kids if self.known(p, q) is None)
+        return self.weights[a.shape, b.shape]
+
+    def known(self, a: Node, b: Node) -> int | None:
         if a.shape == b.shape:
             return a.size
         if a.tag != b.tag or a.noise != b.noise:
             return 0
-        key = (a.shape, b.shape)
-        w = self.weights.get(key)
-        if w is None:
-            w = self.weights[key] = 1 + self.table(a.kids, b.kids)[-1][-1]
-        return w
+        return self.weights.get((a.shape, b.shape))
 
     def table(self, x: list[Node], y: list[Node]) -> list[list[int]]:
         rows = [[0] * (len(y) + 1)]
