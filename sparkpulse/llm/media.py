@@ -1,7 +1,7 @@
 """Media columns: WAV bytes in a binary column, short-time Fourier transforms, and spectral-peak pair fingerprints.
 
 A payload is stored losslessly as mono 8-bit PCM samples in a WAV container (``wav_column``), read back by the wave module
-(``fingerprint_column``), framed and transformed.  Each frame gives its strongest bin in each of four bands; peaks of
+(``fingerprint_column``), cut into frames that overlap by half and transformed.  Each frame gives its strongest bin in each of four bands; peaks of
 nearby frames are paired into codes.  A fingerprint is an array of 64-bit codes in time order:
 ``frame << 32 | band << 24 | bin << 16 | later bin << 8 | frames between``.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNIT, RATE, FRAME, HOP, AHEAD = 64, 8000, 256, 256, 2
+UNIT, RATE, FRAME, HOP, AHEAD = 64, 8000, 256, 128, 2
 BANDS = ((1, 9), (9, 25), (25, 57), (57, 129))
 #: Frames that are transformed at a time: bounds a worker's memory for payloads of any length.
 BLOCK = 4096
@@ -49,7 +49,9 @@ _window = np.hanning(FRAME).astype(np.float32)
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The strongest bin (0: none) and its magnitude, for each frame and band."""
     x = np.frombuffer(samples, np.uint8)
-    x = np.concatenate([x, np.full(-len(x) % FRAME, 128, np.uint8)]).reshape(-1, FRAME)
+    frames = 1 + max(0, -(-(len(x) - FRAME) // HOP))
+    x = np.concatenate([x, np.full(FRAME + (frames - 1) * HOP - len(x), 128, np.uint8)])
+    x = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     bins, power = np.zeros((len(x), len(BANDS)), np.int64), np.zeros((len(x), len(BANDS)), np.float32)
     for at in range(0, len(x), BLOCK):
         y = x[at : at + BLOCK].astype(np.float32)
@@ -65,7 +67,10 @@ def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(samples: bytes) -> np.ndarray:
-    bins, _ = peaks(samples)
+    return _codes(peaks(samples)[0])
+
+
+def _codes(bins: np.ndarray) -> np.ndarray:
     codes = []
     for ahead in range(1, AHEAD + 1):
         if len(bins) <= ahead:
@@ -92,9 +97,9 @@ def wav_column(df: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("d
     return d.mapInArrow(run, schema)
 
 
-def fingerprint_column(df: DataFrame, *, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes"), arrays: bool = True) -> DataFrame:
-    """Read the media column back: digests of payload and container, frame count, and the fingerprint array (if asked for)."""
-    fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, n_pairs long, feature string" + ", fingerprint array<long>" * arrays
+def fingerprint_column(df: DataFrame, *, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
+    """Read the media column back: digests of payload and container, frame count, and the fingerprint array in time order."""
+    fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, n_pairs long, feature string, fingerprint array<long>"
     added = df.sparkSession.createDataFrame([], fields).schema
     schema = df.select(*keep).schema
     names = [*keep, *added.names]
@@ -108,11 +113,11 @@ def fingerprint_column(df: DataFrame, *, media: str = "media", keep: tuple[str,
             for m in batch.column(len(keep)):
                 m = m.as_py()
                 x = from_wav(m)
-                codes = fingerprint(x)
-                frames = -(-len(x) // FRAME)
+                bins, _ = peaks(x)
+                codes, frames = _codes(bins), len(bins)
                 digest = hashlib.sha256(codes.astype("<i8").tobytes()).hexdigest()[:32]
                 row = (len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), frames, len(codes), f"{frames}:{len(codes)}:{digest}")
-                rows.append((*row, codes) if arrays else row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array([r[i] for r in rows], t) for i, t in zip(range(len(added)), types, strict=False))], names=names)
+                rows.append((*row, codes))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array([r[i] for r in rows], t) for i, t in zip(range(len(added)), types, strict=True))], names=names)
 
     return df.select(*keep, F.col(media).alias("__media")).mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from .common import shared_dir, table
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.fingerprint_column(media.wav_column(table(spark, sf_dir, "documents")), arrays=False)
+    return media.fingerprint_column(media.wav_column(table(spark, sf_dir, "documents")))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
