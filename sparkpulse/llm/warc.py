@@ -41,11 +41,14 @@ def _record(kind: str | Column, record_id: Column, uri: Column, content_type: st
 
 def plan(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = 1000) -> DataFrame:
     """page_id, url, html, digest, capture (a unique key) and first: the page that it revisits, or null."""
-    p = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(page_id).cast("long").alias("__n"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("capture"))
+    p = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(page_id).cast("long").alias("__n"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
     groups = pages.select(F.col(page_id).cast("long").alias("n"), F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("b")).where(F.octet_length("b") >= min_revisit)
     groups = groups.select("n", F.sha1("b").alias("digest")).groupBy("digest").agg(F.max("n").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    p = p.join(groups, "digest", "left")
+    # small pages, all empty ones too, revisit nothing and aren't joined
+    small = F.octet_length("html") < min_revisit
+    p = p.where(~small).join(groups, "digest", "left").unionByName(p.where(small).withColumn("first", F.lit(None).cast("long")))
+    p = p.withColumn("capture", F.monotonically_increasing_id())
     return p.withColumn("first", F.when(F.col("__n") == F.col("first"), None).otherwise(F.col("first"))).drop("__n")
 
 
