@@ -1,15 +1,17 @@
 """Training-order materialisation: token sequences at keyed pseudorandom slots, in shards of fixed-stride records.
 
-Texts are byte-token streams (token id = byte value, one unsigned byte each), each ended by ``END``, packed end to end
-into sequences of ``length`` tokens; the last one is padded with ``PAD``.  Sequence i gets slot ``permute(i)``, a Feistel
-permutation with cycle-walking keyed by ``key``; another key gives another epoch.  Shard s holds slots
+Token streams are columns of fixed-width little-endian ids (``ids`` and ``width``), or, without one, the texts' UTF-8 bytes, a byte a
+token.  Each document's tokens end with ``end``, an id outside the vocabulary (0xFF, which UTF-8 never has, for bytes); documents
+are packed end to end into sequences of ``length`` tokens and the last one is padded with ``pad``.  Sequence i gets slot
+``permute(i)``, a Feistel permutation with cycle-walking keyed by ``key``; another key gives another epoch.  Shard s holds slots
 [s * per_shard, (s + 1) * per_shard) in order, so record r of the order lies at byte ``(r % per_shard) * stride`` of
 shard ``r // per_shard``: reading is sequential and resumes at any slot with one seek.
 
-A record is a header (slot, sequence as unsigned 64-bit, number of tokens as unsigned 32-bit, CRC-32 of the payload;
-little-endian) and ``length`` bytes.  Shards are written under a temporary name and renamed, so a repeated or speculative
-task leaves one whole file.  Null texts are empty: an END alone.  Empty tables give no shards and no rows.  Rows with
-equal ids are separate documents.  Other columns are ignored.
+Documents stand in the order of a hash of their id and tokens, so the order doesn't depend on how the rows are split.  A record is a
+header (slot, sequence as unsigned 64-bit, number of tokens as unsigned 32-bit, CRC-32 of the payload; little-endian) and
+``length`` tokens.  Each task writes a range of shards, under temporary names and renamed, so a repeated or speculative task
+leaves one whole file.  Null texts are empty: an end token alone.  Empty tables give no shards and no rows.  Rows with equal ids are
+separate documents, equal rows too.  Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,55 +26,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import Scratch, shared_dir
 from .feistel import permute
 from .spans import blocks_of, with_offsets
 
 HEADER = "<QQII"
 HEADER_SIZE = struct.calcsize(HEADER)
-END, PAD = 0x03, 0x00
-
-
-def sequences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int) -> DataFrame:
-    """Pieces (sequence, at, doc_id, bytes): what each document puts into which sequence, from which token of it on."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.concat(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8"), F.lit(bytes([END]))).alias("bytes"))
-    return place(d, length)
-
-
-def place(d: DataFrame, length: int) -> DataFrame:
-    # Totals of the input's partitions are summed up first; each task then counts on within its own, so no bytes are shuffled.
-    d = d.withColumn("n", F.octet_length("bytes").cast("long")).withColumn("part", F.spark_partition_id())
-    base = with_offsets(d.groupBy("part").agg(F.sum("n").alias("n")), "n", by=[], order=["part"], out="base").select("part", "base")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
-        for b in batches:
-            n = b.column("n").to_numpy()
-            start = b.column("base").to_numpy() + at + n.cumsum() - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("bytes"), b.column("n"), pa.array(start, pa.int64())], names=["doc_id", "bytes", "n", "start"])
-
-    d = d.join(F.broadcast(base), "part").select("doc_id", "bytes", "n", F.col("base").cast("long").alias("base"))  # base: a row for each partition
-    kind = d.schema["doc_id"].dataType.simpleString()
-    d = d.mapInArrow(run, f"doc_id {kind}, bytes binary, n long, start long").withColumn("sequence", F.explode(blocks_of(F.col("start"), F.col("n"), length)))
-    a = F.greatest(F.col("start"), F.col("sequence") * length)
-    b = F.least(F.col("start") + F.col("n"), (F.col("sequence") + 1) * length)
-    return d.select("sequence", (a - F.col("sequence") * length).cast("int").alias("at"), "doc_id", F.substring("bytes", (a - F.col("start") + 1).cast("int"), (b - a).cast("int")).alias("bytes"))
-
-
-def write(docs: DataFrame, path: str, *, key: str, doc_id: str = "doc_id", text: str = "text", length: int = 2048, per_shard: int = 4096) -> DataFrame:
+#: For byte tokens: values that UTF-8 never has.
+END, PAD = 0xFF, 0xFE
+#: Documents whose places are sent to every executor at most; beyond, texts are shuffled to them.
+BROADCAST_ROWS = 1_000_000
+
+
+def streams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ids: str | None = None, width: int = 1, end: int = END) -> DataFrame:
+    """key, doc_id, bytes (the document's tokens and the end token) and n (tokens)."""
+    body = F.coalesce(F.col(ids), F.lit(b"")) if ids else F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
+    d = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body"))
+    return d.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "body").alias("key"), "doc_id", F.concat("body", F.lit(end.to_bytes(width, "little"))).alias("bytes"), ((F.octet_length("body") / width).cast("long") + 1).alias("n"))
+
+
+def sequences(d: DataFrame, scratch: Scratch, *, length: int, width: int = 1) -> tuple[DataFrame, int]:
+    """Pieces (sequence, at, doc_id, bytes): what each document of streams puts into which sequence, from which token of it on; and
+    the number of tokens."""
+    rows = scratch.save(d.groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("copies")), "order-rows")
+    total, size, most = rows.agg(F.coalesce(F.sum(F.col("n") * F.col("copies")), F.lit(0)), F.count("*"), F.coalesce(F.max("copies"), F.lit(1))).first()
+    rows = with_offsets(rows.withColumn("all", F.col("n") * F.col("copies")), "all", by=[], order=["key"]).select("key", F.col("offset").cast("long").alias("offset"), "copies")
+    rows = scratch.save(rows, "order-offsets")
+    place = lambda r: F.broadcast(r) if size <= BROADCAST_ROWS else r
+    if most > 1:  # of equal rows one stands for all
+        again = rows.where("copies > 1")
+        d = d.join(place(rows.where("copies = 1")), "key").unionByName(d.join(place(again), "key").dropDuplicates(["key"]))
+        d = d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("offset", F.col("offset") + F.col("copy") * F.col("n"))
+    else:
+        d = d.join(place(rows), "key")
+    d = d.withColumn("sequence", F.explode(blocks_of(F.col("offset"), F.col("n"), length)))
+    a = F.greatest(F.col("offset"), F.col("sequence") * length)
+    b = F.least(F.col("offset") + F.col("n"), (F.col("sequence") + 1) * length)
+    cut = F.substring("bytes", ((a - F.col("offset")) * width + 1).cast("int"), ((b - a) * width).cast("int"))
+    return d.select("sequence", (a - F.col("sequence") * length).cast("int").alias("at"), "doc_id", cut.alias("bytes")), total
+
+
+def write(docs: DataFrame, path: str, *, key: str, length: int = 2048, per_shard: int = 4096, width: int = 1, pad: int = PAD, **columns) -> DataFrame:
     """Write the shards below ``path`` (a URI that pyarrow opens) and return the manifest: shard, file, records."""
-    sizes = docs.select((F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    pieces, total = sequences(streams(docs, width=width, **columns), Scratch(docs.sparkSession), length=length, width=width)
     n = -(-total // length)
-    pieces = sequences(docs, doc_id=doc_id, text=text, length=length)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             slot = permute(b.column("sequence").to_numpy(zero_copy_only=False), n, key)
             yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard, pa.int64()), pa.array(slot, pa.int64()), *(b.column(c) for c in ("sequence", "at", "bytes"))], names=["shard", "slot", "sequence", "at", "bytes"])
 
-    stride = HEADER_SIZE + length
+    filler = pad.to_bytes(width, "little")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -84,7 +88,7 @@ def write(docs: DataFrame, path: str, *, key: str, doc_id: str = "doc_id", text:
         def flush() -> None:
             nonlocal records
             if slot is not None:
-                sink.write(struct.pack(HEADER, slot, seq, len(buf), zlib.crc32(buf)) + buf + bytes([PAD]) * (length - len(buf)))
+                sink.write((struct.pack(HEADER, slot, seq, len(buf) // width, zlib.crc32(buf)) + buf + filler * (length - len(buf) // width)))
                 records += 1
 
         def close() -> None:
@@ -109,30 +113,40 @@ def write(docs: DataFrame, path: str, *, key: str, doc_id: str = "doc_id", text:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["shard", "file", "records"])
 
-    tasks = max(1, min(-(-n // per_shard), 100_000))
-    return pieces.mapInArrow(slots, "shard long, slot long, sequence long, at int, bytes binary").repartition(tasks, "shard").sortWithinPartitions("shard", "slot", "at").mapInArrow(shards, "shard long, file string, records long")
+    # Range partitions: the range of each task is known beforehand, for slots are dense.
+    count = max(1, -(-n // per_shard))
+    tasks = min(count, 100_000)
+    pieces = pieces.mapInArrow(slots, "shard long, slot long, sequence long, at int, bytes binary")
+    return pieces.repartitionById(tasks, F.floor(F.col("shard") * tasks / count).cast("int")).sortWithinPartitions("slot", "at").mapInArrow(shards, "shard long, file string, records long")
 
 
-def read(spark: SparkSession, path: str, *, length: int = 2048, start: int = 0) -> DataFrame:
-    """Records in slot order within shards, from slot ``start`` on: slot, sequence, file, offset, n_tokens, crc32, intact, tokens."""
-    stride = HEADER_SIZE + length
+def read(spark: SparkSession, path: str, *, length: int = 2048, width: int = 1, per_shard: int = 4096, start: int = 0) -> DataFrame:
+    """Records in slot order within shards, from slot ``start`` on: slot, sequence, file, offset, n_tokens, crc32, intact, tokens.
+
+    Shards before it aren't opened; in its own one reading begins with a seek."""
+    stride, many = HEADER_SIZE + length * width, 512
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = data.as_buffer()
-                rows = []
-                for at in range(0, len(data), stride):
-                    slot, seq, n, crc = struct.unpack(HEADER, data[at : at + HEADER_SIZE].to_pybytes())
-                    if slot >= start:
-                        tokens = data[at + HEADER_SIZE : at + HEADER_SIZE + n].to_pybytes()
-                        rows.append((slot, seq, name, at, n, crc, zlib.crc32(tokens) == crc, tokens))
-                for i in range(0, len(rows), 512):
-                    cols = list(zip(*rows[i : i + 512], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["slot", "sequence", "file", "offset", "n_tokens", "crc32", "intact", "tokens"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(path).select("path", "content")
-    return files.mapInArrow(parse, "slot long, sequence long, file string, offset long, n_tokens long, crc32 long, intact boolean, tokens binary")
+            for shard, name in zip(b.column("shard").to_pylist(), b.column("path").to_pylist(), strict=True):
+                store, file = fs.FileSystem.from_uri(name)
+                at = max(0, start - shard * per_shard) * stride
+                with store.open_input_file(file) as f:
+                    f.seek(min(at, f.size()))
+                    while data := f.read(many * stride):
+                        rows = []
+                        for i in range(0, len(data), stride):
+                            slot, seq, n, crc = struct.unpack(HEADER, data[i : i + HEADER_SIZE])
+                            tokens = data[i + HEADER_SIZE : i + HEADER_SIZE + n * width]
+                            rows.append((slot, seq, name, at + i, n, crc, zlib.crc32(tokens) == crc, tokens))
+                        at += len(data)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["slot", "sequence", "file", "offset", "n_tokens", "crc32", "intact", "tokens"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(path).select("path", F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long").alias("shard"))
+    return files.where(F.col("shard") >= start // per_shard).mapInArrow(parse, "slot long, sequence long, file string, offset long, n_tokens long, crc32 long, intact boolean, tokens binary")
 
 
 def order(docs: DataFrame, *, key: str = "epoch-0", length: int = 2048, per_shard: int = 4096) -> DataFrame:
@@ -143,4 +157,4 @@ def order(docs: DataFrame, *, key: str = "epoch-0", length: int = 2048, per_shar
     manifest = write(docs, path, key=key, length=length, per_shard=per_shard)
     if manifest.agg(F.count("*")).first()[0] == 0:
         return spark.createDataFrame([], schema)
-    return read(spark, path, length=length).select("slot", "sequence", F.floor(F.col("slot") / per_shard).alias("shard"), "offset", "n_tokens", "crc32", F.sha2("tokens", 256).alias("tokens_sha256"), "intact")
+    return read(spark, path, length=length, per_shard=per_shard).select("slot", "sequence", F.floor(F.col("slot") / per_shard).alias("shard"), "offset", "n_tokens", "crc32", F.sha2("tokens", 256).alias("tokens_sha256"), "intact")
