@@ -78,24 +78,27 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < WINDOW, F.lit(0).cast("long")).otherwise(whole(w))
 
 
-def classes(text: Column) -> list[Column]:
-    """Counts in the order of CLASSES; white space belongs to none."""
-    without = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
-    left = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("long")
-    letters, upper, digits, symbols = left(r"\P{L}+"), left(r"\P{Lu}+"), without(DIGITS), without(SYMBOLS)
-    return [letters - upper, upper, digits, symbols, F.greatest(F.lit(0).cast("long"), F.length(F.translate(text, BLANKS, "")) - letters - digits - symbols)]
+def classes(joined: Column) -> Column:
+    """Counts in the order of CLASSES of a text without white space; one pass over it, the rest over what that leaves."""
+    left = lambda x, pattern: F.regexp_replace(x, pattern, "")
+    size = lambda x: F.length(x).cast("long")
+
+    def others(n: Column, m: Column) -> Column:
+        digits, symbols = size(left(n, f"[^{DIGITS}]+")), size(left(n, f"[^{SYMBOLS}]+"))
+        return F.array(size(joined) - size(m), size(m) - size(n), digits, symbols, size(n) - digits - symbols)
+
+    return bind(left(joined, r"[\p{L}&&[^\p{Lu}]]+"), lambda m: bind(left(m, r"\p{Lu}+"), lambda n: others(n, m)))
 
 
 def references(docs: DataFrame, *, text: str = "text", lang: str = "lang", top: int = 30, max_langs: int = 32, min_reference: int = 2000) -> list[Reference]:
     """The references of docs: max_langs rows of top words at most."""
     scratch = Scratch(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
-    symbols = F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
-    d = docs.where(symbols <= MAX_SYMBOLS * F.length(F.translate(t, BLANKS, ""))).select(F.col(lang).alias("lang"), words(F.col(text)).alias("w"))
+    symbols = F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", ""))
+    d = docs.where(symbols <= MAX_SYMBOLS * F.length(t)).select(F.col(lang).alias("lang"), words(F.col(text)).alias("w"))
     counts = d.where(F.size("w") >= 10).select("lang", F.explode("w").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = scratch.save(counts, "quality-words")
-    kinds = classes(F.col("word"))
-    sums = counts.groupBy("lang").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * k).alias(f"c{i}") for i, k in enumerate(kinds)))
+    sums = counts.select("lang", "n", classes(F.col("word")).alias("c")).groupBy("lang").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))))
     chosen = sums.where(F.col("n") >= min_reference).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     some = F.lit(False)
     for r in chosen:
@@ -135,8 +138,10 @@ def judged(refs: list[Reference], *, text: str = "text", lang: str = "lang", min
 
     def counted(ws: Column) -> Column:
         found = F.filter(F.transform(ws, F.lower), lambda w: w.isin(common)) if common else F.array().cast("array<string>")
-        fields = [F.size(ws).cast("long").alias("n_words"), F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"), bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), repeated_words(ws).alias("n_repeat_words")]
-        return F.struct(*fields, F.array(*classes(t)).alias("classes"), found.alias("found"))
+        joined = F.array_join(ws, "")
+        fields = [F.size(ws).cast("long").alias("n_words"), F.length(joined).cast("long").alias("word_chars"), bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), repeated_words(ws).alias("n_repeat_words")]
+        count = lambda found: F.transform(F.array_distinct(found), lambda w: F.struct(w.alias("w"), (F.size(found) - F.size(F.array_remove(found, w))).alias("c")))
+        return F.struct(*fields, bind(joined, classes).alias("classes"), bind(found, count).alias("found"))
 
     def by_classes(f: Column, q: list[float]) -> Column:
         n = F.get(f["classes"], F.lit(digit))
@@ -145,10 +150,25 @@ def judged(refs: list[Reference], *, text: str = "text", lang: str = "lang", min
         return bind(bind(own, share), lambda p: F.sqrt(jsd(p, array(q, "double"))))
 
     def by_words(f: Column, r: Reference) -> Column:
-        own = F.transform(array(r.words, "string"), lambda w: (F.size(f["found"]) - F.size(F.array_remove(f["found"], w))) / F.greatest(F.lit(1), f["n_words"]))
-        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-        noise = len(r.words) / (8 * math.log(2)) / F.greatest(F.lit(1), f["n_words"])
-        return bind(own, lambda o: F.sqrt(F.greatest(F.lit(0.0), jsd(F.concat(o, F.array(F.greatest(F.lit(0.0), 1 - total(o)))), array([*r.shares, max(0.0, 1 - sum(r.shares))], "double")) - noise)))
+        # Words that the text lacks add their share each; only those that it has need a term of their own.
+        shares = F.create_map(*(F.lit(x) for pair in zip(r.words, r.shares, strict=True) for x in pair))
+        n = F.greatest(F.lit(1), f["n_words"])
+        part = lambda a, b: a * F.log2(2 * a / (a + b))
+        start = F.struct(F.lit(0.0).alias("terms"), F.lit(0.0).alias("own"), F.lit(0.0).alias("ref"))
+
+        def term(s: Column, x: Column) -> Column:
+            p = x["c"] / n
+            return bind(F.element_at(shares, x["w"]), lambda q: F.when(q.isNull(), s).otherwise(F.struct((s["terms"] + part(p, q) + part(q, p)).alias("terms"), (s["own"] + p).alias("own"), (s["ref"] + q).alias("ref"))))
+
+        rest = max(0.0, 1 - sum(r.shares))
+
+        def total(s: Column) -> Column:
+            other = F.greatest(F.lit(0.0), 1 - s["own"])
+            last = F.when(other > 0, part(other, F.lit(rest))).otherwise(0.0) + (part(F.lit(rest), other) if rest > 0 else F.lit(0.0))
+            return (s["terms"] + (sum(r.shares) - s["ref"]) + last) / 2
+
+        noise = len(r.words) / (8 * math.log(2)) / n
+        return bind(F.aggregate(f["found"], start, term), lambda s: F.sqrt(F.greatest(F.lit(0.0), F.greatest(F.lit(0.0), total(s)) - noise)))
 
     def measured(f: Column) -> Column:
         return F.struct(f.alias("f"), least([by_classes(f, r.classes) for r in refs]).alias("c"), least([by_words(f, r) for r in refs if r.words]).alias("w"))
