@@ -150,3 +150,19 @@ def reel_script(iv: DataFrame, media: str, output: str = "reel.mp4") -> DataFram
     joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", c))), lambda x: x[c]), "")
     g = d.groupBy(KEY).agg(joined("part").alias("p"), joined("label").alias("l"), F.count("*").alias("n"))
     return g.select(KEY, F.concat(F.lit(f'ffmpeg -i "{media}" -filter_complex "'), "p", "l", F.lit("concat=n="), F.col("n").cast("string"), F.lit(f':v=1:a=1[v][a]" -map "[v]" -map "[a]" "{output}"')).alias("script"))
+
+
+def within(iv: DataFrame, lo: float | None = None, hi: float | None = None, start: str = "start", end: str = "end") -> DataFrame:
+    """Intervals that touch [lo, hi], cut to it; a bound that is None is none."""
+    if lo is not None:
+        iv = iv.where(F.col(end) >= lo).withColumn(start, F.greatest(F.col(start), F.lit(float(lo))))
+    if hi is not None:
+        iv = iv.where(F.col(start) <= hi).withColumn(end, F.least(F.col(end), F.lit(float(hi))))
+    return iv
+
+
+def region_clips(regions: DataFrame, before: float, after: float) -> DataFrame:
+    """Regions (start, end) padded, not below 0, and merged where they touch: clip_index, start, end per stream."""
+    padded = regions.select(KEY, F.greatest(F.lit(0.0), F.col("start") - before).alias("start"), (F.col("end") + after).alias("end"))
+    order = Window.partitionBy(KEY).orderBy("start")  # a row per clip
+    return union(padded).withColumn("clip_index", F.row_number().over(order).cast("long"))

@@ -69,3 +69,37 @@ def metrics_long(wide: DataFrame, names: list[str]) -> DataFrame:
 
 def metrics_wide(long: DataFrame, names: list[str]) -> DataFrame:
     return long.groupBy(KEY).pivot("metric", names).agg(F.first("value"))
+
+
+def coverage_by(regions: DataFrame, clips: DataFrame, by: str, names: list[str], width: float = 600.0) -> DataFrame:
+    """regions (stream_id, id, start, end) with coverage_frac_<name>: the share that the clips of each value of ``by`` cover."""
+    joint = clips.withColumn(KEY, F.struct(F.col(KEY).alias("s"), F.col(by).cast("string").alias("by")))
+    c = I.union(joint).select(F.col(f"{KEY}.s").alias(KEY), F.col(f"{KEY}.by").alias("by"), F.col("start").alias("start2"), F.col("end").alias("end2"))
+    part = F.least("end", "end2") - F.greatest("start", "start2")
+    r = regions.where("end > start")
+    got = I.range_join(r.select(KEY, "id", "start", "end"), c, width).groupBy(KEY, "id").pivot("by", names).agg(F.sum(part))
+    share = lambda n: F.round(F.coalesce(F.col(n), F.lit(0.0)) / (F.col("end") - F.col("start")), 4).alias(f"coverage_frac_{n[:20]}")
+    return r.join(got, [KEY, "id"], "left").select(KEY, "id", *map(share, names))
+
+
+def clipped_share(clips: DataFrame, regions: DataFrame, durations: DataFrame) -> DataFrame:
+    """Per stream of durations (stream_id, stream_duration_s): seconds clipped and in regions (unions), and their percentages."""
+    total = lambda d, n: I.union(d).groupBy(KEY).agg(F.sum(F.col("end") - F.col("start")).alias(n))
+    d = durations.join(total(clips, "c"), KEY, "left").join(total(regions, "r"), KEY, "left").na.fill(0.0, ["c", "r"])
+    pct = lambda n: F.round(100 * F.col(n) / F.col("stream_duration_s"), 2)
+    return d.select(KEY, "stream_duration_s", F.round("c", 1).alias("total_clipped_s"), pct("c").alias("clipped_pct_of_stream"), F.round("r", 1).alias("total_region_s"), pct("r").alias("region_pct_of_stream"))
+
+
+def highlight_summary(segments: DataFrame, by: str = "highlight_file") -> DataFrame:
+    """Per highlight of a stream: its segments (start, end), their seconds, and the seconds of the stream that they cover once."""
+    sums = segments.groupBy(KEY, by).agg(F.count("*").alias("n_segments"), F.sum(F.col("end") - F.col("start")).alias("total_s"))
+    joint = segments.withColumn(KEY, F.struct(F.col(KEY).alias("s"), F.col(by).alias("by")))
+    net = I.union(joint).groupBy(KEY).agg(F.sum(F.col("end") - F.col("start")).alias("net_s")).select(F.col(f"{KEY}.s").alias(KEY), F.col(f"{KEY}.by").alias(by), "net_s")
+    return sums.join(net, [KEY, by])
+
+
+def inflation(segments: DataFrame) -> DataFrame:
+    """Per stream: seconds covered once, over the seconds of all its reels' segments (1 at least)."""
+    reel = segments.groupBy(KEY).agg(F.sum(F.col("end") - F.col("start")).alias("reel_s"))
+    net = I.union(segments).groupBy(KEY).agg(F.sum(F.col("end") - F.col("start")).alias("stream_net_s"))
+    return reel.join(net, KEY).withColumn("inflation", F.col("stream_net_s") / F.greatest(F.lit(1.0), F.col("reel_s")))

@@ -84,3 +84,19 @@ def with_hms(df: DataFrame, *times: str) -> DataFrame:
     for t in times or ("time_seconds",):
         df = df.withColumn(t.replace("_seconds", "_hms") if t.endswith("_seconds") else f"{t}_hms", seconds_to_hms(t))
     return df
+
+
+def centre_between(hist: DataFrame, step: int, start: float = 0, end: float = 0) -> DataFrame:
+    """Bins whose centre lies in the range; a bound of 0 is none."""
+    centre = (F.col("bin") + 0.5) * step
+    for bound, keep in ((start, centre >= start), (end, centre <= end)):
+        if bound:
+            hist = hist.where(keep)
+    return hist
+
+
+def ticks(series: DataFrame, n: int = 8, time: str = "time_seconds") -> DataFrame:
+    """stream_id, tick, at: n evenly spaced points from the first time to the last."""
+    ends = series.groupBy(KEY).agg(F.min(time).alias("a"), F.max(time).alias("b"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("tick")
+    return ends.select(KEY, "a", "b", k).select(KEY, "tick", (F.col("a") + (F.col("b") - F.col("a")) * F.col("tick") / max(1, n - 1)).alias("at"))

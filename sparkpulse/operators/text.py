@@ -113,3 +113,19 @@ def offset_clusters(m: DataFrame, *, max_shift: float, max_gap: float, least: in
     d = m.withColumn("g", F.sum(F.when(new, 1).otherwise(0)).over(w))
     g = d.groupBy(KEY, "g").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.median("offset").alias("offset"))
     return g.where((F.col("n") >= least) & (F.col("end") - F.col("start") >= least_cover)).drop("g")
+
+
+#: Typographic and mathematical characters as ASCII.
+ASCII = {
+    "≥": ">=", "≤": "<=", "≈": "~", "α": "alpha", "→": "->", "【": "[", "】": "]", "｜": "|", "：": ":", "−": "-", "–": "-", "—": "--",
+    "Δ": "Delta", "β": "beta", "γ": "gamma", "μ": "mu", "σ": "sigma", "×": "x", "÷": "/", "≠": "!=", "±": "+-", "∈": "in",
+    "∞": "infinity", "∑": "sum", "∏": "prod", "√": "sqrt", "∂": "d", "λ": "lambda", "ε": "epsilon", "θ": "theta", "ω": "omega",
+    "…": "...", "‧": ".", "•": "*", "·": "*", "・": "*", "²": "^2", "³": "^3", "⁴": "^4",
+}
+
+
+def to_ascii(c: Column) -> Column:
+    """c with the characters of ASCII written out; others stay."""
+    table = F.create_map(*(F.lit(x) for pair in ASCII.items() for x in pair))
+    odd = "[" + "".join(ASCII) + "]"
+    return F.when(c.rlike(odd), F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")).otherwise(c)

@@ -101,3 +101,19 @@ def best_lag(scores: DataFrame, least: float = 0.30) -> DataFrame:
     """Each template window's best stream frame (of equals the first) and its score."""
     b = scores.groupBy("r").agg(F.max_by("k", F.struct(F.round("ncc", 9), F.negative("k"))).alias("k"), F.max("ncc").alias("ncc"))
     return b.where(F.col("ncc") >= least)
+
+
+def envelope_ncc(series: DataFrame, templates: DataFrame, size: int, value: str = "value") -> DataFrame:
+    """stream_id, bin, ncc: the normalised correlation of each window of ``size`` bins that begins at bin with the stream's
+    template (an array column of ``size`` values), within -1 and 1; 0 for a constant template or window."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("stream_id").orderBy("bin").rowsBetween(0, size - 1)
+    x = series.select("stream_id", "bin", F.collect_list(F.col(value).cast("double")).over(w).alias("x")).where(F.size("x") == size)  # size values
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / size
+    x = x.join(F.broadcast(templates.select("stream_id", "template")), "stream_id")  # a short array per stream
+    x = x.withColumn("mx", mean(F.col("x"))).withColumn("mt", mean(F.col("template")))
+    x = x.withColumn("sx", F.sqrt(mean(F.transform("x", lambda v: (v - F.col("mx")) ** 2)))).withColumn("st", F.sqrt(mean(F.transform("template", lambda v: (v - F.col("mt")) ** 2))))
+    both = mean(F.zip_with("x", "template", lambda a, b: (a - F.col("mx")) * (b - F.col("mt"))))
+    ncc = F.when((F.col("sx") < 1e-9) | (F.col("st") < 1e-9), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), both / (F.col("sx") * F.col("st")))))
+    return x.select("stream_id", "bin", ncc.alias("ncc"))

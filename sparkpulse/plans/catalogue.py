@@ -96,7 +96,7 @@ def union_sql(src: str, out: str, gap: float = 0) -> str:
 
 
 SPANS = """sp AS (SELECT l_returnflag AS stream_id, l_orderkey AS id, CAST(epoch(min(l_shipdate)) / 86400 AS DOUBLE) AS s, CAST(epoch(max(l_shipdate)) / 86400 + 1 AS DOUBLE) AS e FROM lineitem GROUP BY 1, 2),
-ra AS (SELECT * FROM sp WHERE id % 7 = 0)"""
+ra AS (SELECT * FROM sp)"""
 
 
 def spans(spark, d):
@@ -254,7 +254,7 @@ def interval_union(spark, d):
     return I.union(spans(spark, d))
 
 
-@query("WITH " + SPANS + ", rb AS (SELECT * FROM sp WHERE id % 97 = 0) SELECT a.stream_id, a.id, coalesce(sum(least(a.e, b.e) - greatest(a.s, b.s)) FILTER (WHERE b.s IS NOT NULL), 0.0) AS covered FROM rb a LEFT JOIN ra b ON a.stream_id = b.stream_id AND b.s < a.e AND b.e > a.s GROUP BY 1, 2")
+@query("WITH " + SPANS + ", rb AS (SELECT * FROM sp) SELECT a.stream_id, a.id, coalesce(sum(least(a.e, b.e) - greatest(a.s, b.s)) FILTER (WHERE b.s IS NOT NULL), 0.0) AS covered FROM rb a LEFT JOIN ra b ON a.stream_id = b.stream_id AND b.s < a.e AND b.e > a.s GROUP BY 1, 2")
 def overlap_seconds(spark, d):
     s = spans(spark, d)
     return I.overlap_sums(s, s, 120.0).select("stream_id", "id", "covered")
@@ -429,7 +429,7 @@ def frame_zscore(spark, d):
     return z(spark, d).select("frame", F.round(F.get("z", F.lit(0)), 4).alias("first_value"), F.round(F.get("z", F.lit(63)), 4).alias("last_value"))
 
 
-NCC = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT *, list_avg(v) AS a, list_stddev_pop(v) AS sd FROM e), z AS (SELECT vec_id AS frame, list_transform(v, lambda x: (x - a) / (sd + 1e-8)) AS z FROM m), s AS (SELECT a.frame AS r, b.frame AS k, list_inner_product(a.z, b.z) / 64 AS s FROM z a, z b WHERE a.frame BETWEEN 100 AND 139), n AS (SELECT r, k, avg(s) OVER w AS ncc, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY k - r ORDER BY r ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)), f AS (SELECT * FROM n WHERE n = 10) "
+NCC = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT *, list_avg(v) AS a, list_stddev_pop(v) AS sd FROM e), z AS (SELECT vec_id AS frame, list_transform(v, lambda x: (x - a) / (sd + 1e-8)) AS z FROM m), s AS (SELECT a.frame AS r, b.frame AS k, list_inner_product(a.z, b.z) / 64 AS s FROM z a, z b), n AS (SELECT r, k, avg(s) OVER w AS ncc, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY k - r ORDER BY r ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)), f AS (SELECT * FROM n WHERE n = 10) "
 
 
 def best_lags(spark, d):
@@ -462,15 +462,20 @@ def window_pearson(spark, d):
     return x.select("stream_id", "bin", F.round("r", 4).alias("r"))
 
 
-@query()
+@query("WITH " + MSG + """, g AS (SELECT *, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER w < 1800 THEN 0 ELSE 1 END AS new FROM (SELECT event_type AS stream_id, event_id, ts FROM events) WINDOW w AS (PARTITION BY stream_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT stream_id, round(epoch(min(ts)), 3) AS start_seconds, round(epoch(max(ts)) + 1800, 3) AS end_seconds, count(*) AS messages FROM s GROUP BY stream_id, k""")
 def live_bursts(spark, d):
-    m = R.events(spark, d).withColumn("ts", F.timestamp_seconds(F.col("seconds") + R.EPOCH))
-    return live.bursts(m, gap="30 minutes")
+    e = parquet(spark, d, "events").select(F.col("event_type").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"))
+    seconds = lambda c: F.round(F.col(c).cast("double"), 3).alias(f"{c}_seconds")
+    return live.bursts(e, gap="30 minutes").select("stream_id", seconds("start"), seconds("end"), "messages")
 
 
 def queries():
+    from . import exports  # noqa: F401  adds its own
+
     return dict(_q)
 
 
 def oracle_sql():
+    queries()
     return dict(_sql)

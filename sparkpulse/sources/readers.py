@@ -80,3 +80,40 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     sec = F.floor(F.col("ts").cast("timestamp").cast("double")).cast("bigint") - EPOCH
     return e.select(F.col("event_type").alias("stream_id"), F.col("event_id").alias("row_id"), F.col("user_id").cast("string").alias("author"), F.concat_ws(" ", "event_type", "props").alias("message"), sec.alias("seconds"), F.col("value"))
+
+
+#: Result tables that are read back, by kind.
+ARTEFACTS = {
+    "frequency": "time_seconds double, time_hms string, normalized_frequency double",
+    "regions": "region_index int, start_seconds double, end_seconds double, start_hms string, end_hms string, duration_seconds double, z_threshold double",
+    "alignment": "highlight_file string, segment_idx int, highlight_start_s double, highlight_end_s double, stream_start_s double, stream_end_s double, duration_s double, mean_ncc double, n_windows int, method string, highlight_start_hms string, highlight_end_hms string, stream_start_hms string, stream_end_hms string",
+    "metrics": "metric string, value string, note string",
+}
+
+
+def artefact(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A result table in CSV with a header, by its fixed schema; stream_id is the file's name up to its last underscore."""
+    df = spark.read.schema(ARTEFACTS[kind]).option("header", True).option("enforceSchema", False).csv(path)
+    return df.select(F.regexp_replace(stream_of(), r"_[^_]*$", "").alias("stream_id"), *df.columns)
+
+
+def video_files(spark: SparkSession, path: str) -> DataFrame:
+    """label and value (path) of the video files right in a folder, by label regardless of case."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("value"), F.element_at(F.split("path", "/"), -1).alias("label"))
+    return files.where(F.lower("label").rlike(r"\.(mp4|mkv|avi|mov|webm|flv|wmv|m4v|mpg|mpeg)$")).select("label", "value").orderBy(F.lower("label"))
+
+
+def subtitle_for(spark: SparkSession, path: str) -> DataFrame:
+    """stem and path of each basename's subtitle in a folder: SRT before VTT."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    kind = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
+    return files.where(kind.isin("srt", "vtt")).groupBy(F.regexp_replace("name", r"\.[^.]*$", "").alias("stem")).agg(F.min_by("path", F.struct(kind, "path")).alias("path"))
+
+
+def silence_cache(spark: SparkSession, path: str, params: dict) -> DataFrame:
+    """start and end of the intervals in silence caches of version 1 with exactly these parameters (others are out of date)."""
+    fields = "version int, params struct<frame_ms: int, hop_ms: int, threshold_db: double, min_silence_ms: int>, intervals array<array<double>>"
+    j = spark.read.schema(fields).option("multiLine", True).json(path).select(stream_of().alias("stream_id"), "*").where("version = 1")
+    for name in ("frame_ms", "hop_ms", "threshold_db", "min_silence_ms"):
+        j = j.where(F.col(f"params.{name}") == params[name])
+    return j.select("stream_id", F.explode("intervals").alias("i")).select("stream_id", F.get("i", F.lit(0)).alias("start"), F.get("i", F.lit(1)).alias("end"))
