@@ -219,7 +219,32 @@ def best_split(spark, d):
     return G.best_split(roll(spark, d)).select("stream_id", F.col("k").cast("long").alias("k"), F.round("t", 6).alias("t"))
 
 
-@query()
+def segment_sql(src: str, value: str, min_seg: int, least: int = 1) -> str:
+    """Binary segmentation as a recursion: leaves of lf are the segments [a, b) of positions in the series."""
+    return f"""ix AS (SELECT * FROM (SELECT stream_id, time_seconds, {value} AS v, row_number() OVER (PARTITION BY stream_id ORDER BY bin) AS i, count(*) OVER (PARTITION BY stream_id) AS n FROM {src}) WHERE n >= {least}),
+px AS (SELECT stream_id, i, sum(v) OVER w AS s, sum(v * v) OVER w AS q FROM ix WINDOW w AS (PARTITION BY stream_id ORDER BY i ROWS UNBOUNDED PRECEDING) UNION ALL SELECT DISTINCT stream_id, 0, 0.0, 0.0 FROM ix),
+sg(stream_id, a, b) AS (SELECT stream_id, CAST(0 AS BIGINT), max(i) FROM ix GROUP BY 1 UNION ALL
+  SELECT stream_id, unnest([a, a + k]), unnest([a + k, b]) FROM (SELECT stream_id, a, b, list(k ORDER BY t DESC, k)[1] AS k, max(t) AS t FROM (
+    SELECT *, abs(m1 - m2) / sqrt(p * (1.0 / k + 1.0 / r)) AS t FROM (SELECT *, (k * (q1 / k - m1 * m1) + r * (q2 / r - m2 * m2)) / (k + r - 2) AS p FROM (
+      SELECT g.stream_id, g.a, g.b, m.i - g.a AS k, g.b - m.i AS r, m.q - lo.q AS q1, hi.q - m.q AS q2, (m.s - lo.s) / (m.i - g.a) AS m1, (hi.s - m.s) / (g.b - m.i) AS m2
+      FROM sg g JOIN px m ON m.stream_id = g.stream_id AND m.i >= g.a + {min_seg} AND m.i < g.b - {min_seg} JOIN px lo ON lo.stream_id = g.stream_id AND lo.i = g.a JOIN px hi ON hi.stream_id = g.stream_id AND hi.i = g.b)) WHERE p > 1e-12)
+  GROUP BY 1, 2, 3) WHERE t > 2.5),
+lf AS (SELECT x.* FROM sg x WHERE NOT EXISTS (SELECT 1 FROM sg y WHERE y.stream_id = x.stream_id AND y.a = x.a AND y.b < x.b))"""
+
+
+def regions_sql(src: str, value: str) -> str:
+    return segment_sql(src, value, 3, 20) + """, st AS (SELECT stream_id, avg(v) AS m, stddev_pop(v) AS sd FROM ix GROUP BY 1),
+sx AS (SELECT l.stream_id, l.a, avg(v) AS v, min(time_seconds) AS t0, max(time_seconds) AS t1 FROM lf l JOIN ix ON ix.stream_id = l.stream_id AND i > a AND i <= b GROUP BY 1, 2),
+iv AS (SELECT stream_id, greatest(0.0, t0 - 1800) AS s, t1 + 1800 AS e FROM sx JOIN st USING (stream_id) WHERE sd > 0 AND v >= m), """ + union_sql("iv", "un", 10800) + """,
+rs AS (SELECT stream_id, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY s) AS INTEGER) AS region_index, s AS start_seconds, e AS end_seconds FROM un WHERE e - s >= 10800)"""
+
+
+def hms_sql(c: str) -> str:
+    c = f"CAST({c} AS BIGINT)"
+    return f"CASE WHEN {c} >= 3600 THEN ({c} // 3600) || ':' || lpad(CAST({c} // 60 % 60 AS VARCHAR), 2, '0') ELSE CAST({c} // 60 AS VARCHAR) END || ':' || lpad(CAST({c} % 60 AS VARCHAR), 2, '0')"
+
+
+@query("WITH RECURSIVE " + ROLL + ", " + segment_sql("roll", "frequency", 5) + " SELECT stream_id, a AS seg_start, b AS seg_end FROM lf")
 def cbs_segments(spark, d):
     return G.segments(roll(spark, d))
 
@@ -228,12 +253,12 @@ def found_regions(spark, d, z=0.0):
     return G.regions(norm(spark, d), value="normalized", step=STEP, min_duration=PAD, max_gap=PAD, z=z)
 
 
-@query()
+@query("WITH RECURSIVE " + ROLL + ", " + regions_sql("roll", "frequency") + " SELECT * FROM rs")
 def high_regions(spark, d):
     return G.regions(roll(spark, d), step=STEP, min_duration=PAD, max_gap=PAD)
 
 
-@query()
+@query("WITH RECURSIVE " + NORM + ", " + regions_sql("nm", "normalized") + f" SELECT *, {hms_sql('start_seconds')} AS start_hms, {hms_sql('end_seconds')} AS end_hms, end_seconds - start_seconds AS duration_seconds FROM rs")
 def regions_normalized(spark, d):
     return S.with_hms(found_regions(spark, d), "start_seconds", "end_seconds").withColumn("duration_seconds", F.col("end_seconds") - F.col("start_seconds"))
 
@@ -293,10 +318,16 @@ def pointbiserial(spark, d):
     return O.pointbiserial(j, "quality", "n_chars").select("n", F.round("r", 6).alias("r"), F.round("t", 4).alias("t"))
 
 
-@query()
+@query("WITH RECURSIVE " + CLIPS + NORM[len(ROLL):] + """, fl AS (SELECT r.stream_id, r.bin, any_value(r.normalized) AS v, max(CASE WHEN c.s IS NOT NULL THEN 1 ELSE 0 END) AS flag FROM nm r LEFT JOIN cl c ON c.stream_id = r.stream_id AND c.s < r.time_seconds + 1800 AND c.e > r.time_seconds - 1800 GROUP BY 1, 2),
+co AS (SELECT stream_id, count(*) AS n, sum(flag) AS ones, corr(flag, v) AS r0 FROM fl GROUP BY 1),
+rt AS (SELECT stream_id, n, r, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT stream_id, n, CASE WHEN n > 10 AND ones > 5 AND n - ones > 5 THEN r0 END AS r FROM co)),
+si AS (SELECT stream_id, i, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(n - 1) / 2.0 * ln(1 + power(i * abs(t) / 2000, 2) / (n - 2))) AS y FROM rt, range(2001) x(i)),
+ar AS (SELECT stream_id, sum(y) AS y FROM si GROUP BY 1)
+SELECT stream_id, n, round(r, 6) AS r, round(t, 4) AS t, round(greatest(0.0, 1 - 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi() * (n - 2)) * abs(t) / 6000 * y), 6) AS p FROM rt JOIN ar USING (stream_id)""")
 def pointbiserial_p(spark, d):
     f = I.flags(norm(spark, d).withColumn("id", F.col("bin")), peak_clips(spark, d), STEP / 2, 86400.0)
-    return O.pointbiserial(f, "flag", "normalized", ["stream_id"])
+    p = O.pointbiserial(f, "flag", "normalized", ["stream_id"])
+    return p.select("stream_id", "n", F.round("r", 6).alias("r"), F.round("t", 4).alias("t"), F.round("p", 6).alias("p"))
 
 
 METRICS = ["messages", "max_seconds", "authors"]
@@ -363,12 +394,20 @@ def char_offsets(spark, d):
     return T.offsets(T.chunks(cues(spark, d))).select("stream_id", "start", "char_start", (F.col("char_end") - F.col("char_start")).alias("n"))
 
 
-@query()
+SENTENCES = CUES + r""", mk AS (SELECT stream_id, s, e, regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\b([A-Z]\.)' || chr(1), '\1 ', 'g') AS x FROM ch),
+pt AS (SELECT stream_id, s, e, list_filter(string_split(x, chr(1)), lambda y: y <> '') AS parts FROM mk),
+se AS (SELECT stream_id, s, e, len(parts) AS n, unnest(range(len(parts))) AS i, unnest(parts) AS part FROM pt)"""
+
+
+@query("WITH " + SENTENCES + ' SELECT stream_id, s + i * ((e - s) / n) AS "start", s + (i + 1) * ((e - s) / n) AS "end", part AS text FROM se')
 def sentence_split(spark, d):
     return T.split_sentences(T.chunks(cues(spark, d)))
 
 
-@query()
+@query("WITH " + SENTENCES + r""", en AS (SELECT *, coalesce(sum(CAST(regexp_matches(part, '[.!?]["'')\]]*$') AS INTEGER)) OVER (PARTITION BY stream_id ORDER BY s, e, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM se),
+gs AS (SELECT stream_id, g, min(s) AS s, max(e) AS e, string_agg(part, ' ' ORDER BY s, e, i) AS text FROM en GROUP BY 1, 2),
+nr AS (SELECT *, abs(s - lag(s) OVER w) < 0.01 AND abs(e - lag(e) OVER w) < 0.01 AS near FROM gs WINDOW w AS (PARTITION BY stream_id ORDER BY s, e, g))
+SELECT stream_id, s AS "start", e AS "end", text FROM nr WHERE NOT coalesce(near, false)""")
 def sentence_intervals(spark, d):
     return T.sentences(T.chunks(cues(spark, d)))
 
@@ -381,7 +420,12 @@ def nearest_sentence_start(spark, d):
     return I.nearest(points, c.select("stream_id", F.col("start").alias("at"), order.alias("order")), 8.0, "near").select("stream_id", "id", "near")
 
 
-@query()
+@query("WITH " + CUES + """, od AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY s, e) AS o FROM ch),
+ro AS (SELECT stream_id, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY s) AS INTEGER) AS id, s + 2 AS s, e + 1.5 AS e FROM ch),
+ns AS (SELECT r.stream_id, r.id, list(k.s ORDER BY abs(k.s - r.s), k.o)[1] AS x FROM ro r JOIN od k ON k.stream_id = r.stream_id AND abs(k.s - r.s) <= 3 GROUP BY 1, 2),
+ne AS (SELECT r.stream_id, r.id, list(k.e ORDER BY abs(k.e - r.e), k.o)[1] AS x FROM ro r JOIN od k ON k.stream_id = r.stream_id AND abs(k.e - r.e) <= 3 GROUP BY 1, 2),
+mv AS (SELECT r.*, coalesce(a.x, r.s) AS a, coalesce(b.x, r.e) AS b FROM ro r LEFT JOIN ns a USING (stream_id, id) LEFT JOIN ne b USING (stream_id, id))
+SELECT stream_id, id, CASE WHEN b - a >= 0.5 THEN a ELSE s END AS "start", CASE WHEN b - a >= 0.5 THEN b ELSE e END AS "end" FROM mv""")
 def snap_clips(spark, d):
     c = T.chunks(cues(spark, d))
     rough = c.select("stream_id", F.row_number().over(Window.partitionBy("stream_id").orderBy("start")).alias("id"), (F.col("start") + 2).alias("start"), (F.col("end") + 1.5).alias("end"))
@@ -408,7 +452,24 @@ def ngram_vote(spark, d):
     return v.select(F.col("window_id").alias("item_id"), F.col("bin").alias("doc_id"), "votes", "total", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+GRAMS = "unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g"
+SPEECH = "NOT regexp_matches(trim(text), '(?s)^\\[.*\\]$') AND NOT regexp_matches(trim(text), '(?s)^♪.*♪$') AND len(w) >= 3"
+
+
+def clusters_sql(src: str, shift: float, gap: float, least: int, cover: float = 0) -> str:
+    return f"""cb AS (SELECT *, CASE WHEN abs(o - lag(o) OVER w) > {shift} OR s - lag(e) OVER w > {gap} THEN 1 ELSE 0 END AS new FROM {src} WINDOW w AS (PARTITION BY stream_id ORDER BY s, e)),
+cg AS (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY s, e) AS g FROM cb)
+SELECT stream_id, count(*) AS n, min(s) AS "start", max(e) AS "end", quantile_cont(o, 0.5) AS "offset" FROM cg GROUP BY stream_id, g HAVING count(*) >= {least} AND max(e) - min(s) >= {cover}"""
+
+
+@query("WITH " + CUES + ", cx AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY s) AS idx, " + TOK.format("text") + " AS w FROM ch), ci AS (SELECT stream_id, s, idx, " + GRAMS + " FROM cx WHERE " + SPEECH + """),
+du AS (SELECT stream_id, max(e) AS dur FROM ch GROUP BY 1), wi AS (SELECT stream_id, k * 5.0 AS t, least(k * 5.0 + 30, dur) AS z FROM (SELECT *, unnest(range(greatest(1, CAST(ceil((dur - 15) / 5) AS BIGINT)))) AS k FROM du)),
+wt AS (SELECT i.stream_id, t, string_agg(text, ' ' ORDER BY s, e, text) AS text FROM wi i JOIN ch c ON c.stream_id = i.stream_id AND c.e > t AND c.s < z GROUP BY 1, 2),
+wx AS (SELECT *, """ + TOK.format("text") + " AS w FROM wt), wg AS (SELECT stream_id, t, " + GRAMS + " FROM wx WHERE " + SPEECH + """),
+tt AS (SELECT stream_id, t, count(*) AS total FROM wg GROUP BY 1, 2), hi AS (SELECT w.stream_id, w.t, c.s, c.idx, floor(c.s / 10) AS bin FROM wg w JOIN ci c USING (stream_id, g)),
+bi AS (SELECT stream_id, t, bin, count(*) AS votes, row_number() OVER (PARTITION BY stream_id, t ORDER BY count(*) DESC, bin) AS r FROM hi GROUP BY 1, 2, 3),
+nc AS (SELECT h.stream_id, h.t, h.s, b.votes, row_number() OVER (PARTITION BY h.stream_id, h.t ORDER BY count(*) DESC, h.idx) AS r FROM hi h JOIN bi b ON b.stream_id = h.stream_id AND b.t = h.t AND b.r = 1 AND h.s BETWEEN b.bin * 10 - 5 AND (b.bin + 1.5) * 10 GROUP BY h.stream_id, h.t, h.s, h.idx, b.votes),
+ma AS (SELECT stream_id, CAST(t AS DOUBLE) AS s, CAST(t + 30 AS DOUBLE) AS e, CAST(s - t AS DOUBLE) AS o FROM nc JOIN tt USING (stream_id, t) WHERE r = 1 AND votes / total >= 0.05), """ + clusters_sql("ma", 45, 30, 2))
 def text_alignment(spark, d):
     """Sliding windows of each conversation voted against all chunks, then clustered by offset."""
     c = T.chunks(cues(spark, d))
@@ -448,7 +509,7 @@ def ncc_best_lag(spark, d):
     return best_lags(spark, d).select("r", "k", F.round("ncc", 4).alias("ncc"))
 
 
-@query()
+@query(NCC + ", bl AS (SELECT 'clip' AS stream_id, CAST(r AS DOUBLE) AS s, r + 10.0 AS e, CAST(k - r AS DOUBLE) AS o FROM (SELECT r, k, ncc, row_number() OVER (PARTITION BY r ORDER BY round(ncc, 9) DESC, k) AS x FROM f) WHERE x = 1 AND ncc >= 0.3), " + clusters_sql("bl", 6, 6, 3, 8))
 def ncc_clusters(spark, d):
     m = best_lags(spark, d).select(F.lit("clip").alias("stream_id"), F.col("r").cast("double").alias("start"), (F.col("r") + 10.0).alias("end"), (F.col("k") - F.col("r")).cast("double").alias("offset"))
     return T.offset_clusters(m, max_shift=6, max_gap=6, least=3, least_cover=8)
