@@ -15,12 +15,13 @@ def clean(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(c), r"\s+"), lambda w: F.regexp_replace(w, "[^a-z0-9']", "")), lambda w: F.length(w) > 1)
+    # one replacement over the whole text: blanks stay, so words split as before it
+    return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9'\s]+", ""), r"\s+"), lambda w: F.length(w) > 1)
 
 
 def ngrams(toks: Column, n: int = 3) -> Column:
     def grams(t: Column) -> Column:
-        all_ = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - (n - 1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+        all_ = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(t) - n)), lambda i: F.concat_ws(" ", *(F.get(t, i + j) for j in range(n))))
         return F.when(F.size(t) >= n, all_).otherwise(F.array().cast("array<string>"))
 
     return bind(toks, grams)
@@ -95,15 +96,24 @@ def windows(ch: DataFrame, window: float = 30, hop: float = 5, least: float = 15
 
 def vote(grams: DataFrame, index: DataFrame, bin_seconds: float = 10.0) -> DataFrame:
     """grams (window_id, ngram) against index (stream_id, ngram, chunk_start, chunk_idx): window_id, stream_id, bin, votes, total,
-    confidence, chunk_start, chunk_idx.  The bin with most votes wins (of equals the first), then the chunk with most near it."""
+    confidence, chunk_start, chunk_idx.  The bin with most votes wins (of equals the first), then the chunk with most near it.
+
+    Where grams has a stream_id, windows are held against their own stream only.  Null windows, streams and starts have no votes.
+    A chunk is near its own bin and the neighbours within half a bin, so votes and nearest chunks come from one join and
+    aggregations that combine before each shuffle; no window's or stream's rows are gathered."""
+    own = [KEY] if KEY in grams.columns else []
+    there = index.where(F.col(KEY).isNotNull() & F.col("chunk_start").isNotNull())
+    hits = grams.where("window_id is not null").join(there, [*own, "ngram"])
+    counts = hits.groupBy("window_id", KEY, "chunk_idx", "chunk_start").agg(F.count("*").alias("c"))
+    start, home = F.col("chunk_start"), F.floor(F.col("chunk_start") / bin_seconds)
+    spread = counts.withColumn("home", home).withColumn("bin", F.explode(F.array(*(F.col("home") + i for i in (-1, 0, 1)))))
+    spread = spread.where((start >= F.col("bin") * bin_seconds - bin_seconds / 2) & (start <= (F.col("bin") + 1.5) * bin_seconds))
+    votes = F.sum(F.when(F.col("bin") == F.col("home"), F.col("c"))).alias("votes")
+    near = F.max_by(F.struct("chunk_start", "chunk_idx"), F.struct("c", F.negative("chunk_idx"))).alias("x")
+    bins = spread.groupBy("window_id", KEY, "bin").agg(votes, near).where("votes > 0")
+    best = bins.groupBy("window_id", KEY).agg(F.max_by(F.struct("bin", "votes", "x"), F.struct("votes", F.negative("bin"))).alias("b")).select("window_id", KEY, "b.*")
     total = grams.groupBy("window_id").agg(F.count("*").alias("total"))
-    hits = grams.join(index, "ngram").withColumn("bin", F.floor(F.col("chunk_start") / bin_seconds))
-    bins = hits.groupBy("window_id", KEY, "bin").agg(F.count("*").alias("votes"))
-    best = bins.groupBy("window_id", KEY).agg(F.max_by(F.struct("bin", "votes"), F.struct("votes", F.negative("bin"))).alias("b")).select("window_id", KEY, "b.*")
-    near = hits.drop("bin").join(best, ["window_id", KEY]).where((F.col("chunk_start") >= F.col("bin") * bin_seconds - bin_seconds / 2) & (F.col("chunk_start") <= (F.col("bin") + 1.5) * bin_seconds))
-    ch = near.groupBy("window_id", KEY, "bin", "votes", "chunk_idx", "chunk_start").agg(F.count("*").alias("c"))
-    out = ch.groupBy("window_id", KEY, "bin", "votes").agg(F.max_by(F.struct("chunk_start", "chunk_idx"), F.struct("c", F.negative("chunk_idx"))).alias("x"))
-    return out.join(total, "window_id").select("window_id", KEY, "bin", "votes", "total", (F.col("votes") / F.col("total")).alias("confidence"), "x.*")
+    return best.join(total, "window_id").select("window_id", KEY, "bin", "votes", "total", (F.col("votes") / F.col("total")).alias("confidence"), "x.*")
 
 
 def offset_clusters(m: DataFrame, *, max_shift: float, max_gap: float, least: int, least_cover: float = 0.0) -> DataFrame:

@@ -474,9 +474,9 @@ def text_alignment(spark, d):
     """Sliding windows of each conversation voted against all chunks, then clustered by offset."""
     c = T.chunks(cues(spark, d))
     w = T.windows(c)
-    g = w.where(T.is_speech(F.col("text"))).select(F.struct("stream_id", "t").alias("window_id"), F.explode(T.ngrams(T.tokens(F.col("text")))).alias("ngram"))
+    g = w.where(T.is_speech(F.col("text"))).select("stream_id", F.struct("stream_id", "t").alias("window_id"), F.explode(T.ngrams(T.tokens(F.col("text")))).alias("ngram"))
     index = T.ngram_index(c.withColumn("idx", F.row_number().over(Window.partitionBy("stream_id").orderBy("start"))))
-    v = T.vote(g, index).where((F.col("confidence") >= 0.05) & (F.col("window_id.stream_id") == F.col("stream_id")))
+    v = T.vote(g, index).where(F.col("confidence") >= 0.05)
     m = v.select("stream_id", F.col("window_id.t").alias("start"), (F.col("window_id.t") + 30).alias("end"), (F.col("chunk_start") - F.col("window_id.t")).alias("offset"))
     return T.offset_clusters(m, max_shift=45, max_gap=30, least=2)
 

@@ -1,4 +1,7 @@
 import json
+import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,6 +97,47 @@ def test_text(spark):
     assert g == ["the cat sat", "cat sat on", "sat on mat"]
 
 
+def test_vote_equals_brute_force(spark):
+    """Ties, repeats, nulls, a very common n-gram, chunks near their neighbours' bins; over all streams and in the own stream."""
+    rng = random.Random(7)
+    words = ["hot"] * 6 + [f"g{i}" for i in range(12)] + [None]
+    grams = [(s, f"{s}{k}", rng.choice(words)) for s in "ab" for k in range(6) for _ in range(rng.randrange(1, 9))] + [("a", None, "hot"), (None, "n0", "g1")]
+    index = [(rng.choice(["a", "b", None]), rng.choice(words), rng.choice([None, *(x / 2 for x in range(120))]), i) for i in range(300)]
+    index += index[:40]
+    g = spark.createDataFrame(grams, "stream_id string, window_id string, ngram string")
+    i = spark.createDataFrame(index, "stream_id string, ngram string, chunk_start double, chunk_idx long")
+
+    def brute(same):
+        out = set()
+        for w in {w for _, w, _ in grams if w}:
+            mine = [x for x in grams if x[1] == w]
+            for s in "ab":
+                hits = [(c[2], c[3]) for x in mine for c in index if x[2] and x[2] == c[1] and c[0] == s and c[2] is not None and (not same or x[0] == s)]
+                if not hits:
+                    continue
+                bins = Counter(int(t // 10) for t, _ in hits)
+                b, v = min(bins.items(), key=lambda kv: (-kv[1], kv[0]))
+                near = Counter(h for h in hits if b * 10 - 5 <= h[0] <= (b + 1.5) * 10)
+                top = min(near.items(), key=lambda kv: (-kv[1], kv[0][1]))[0]
+                out.add((w, s, b, v, len(mine), v / len(mine), *top))
+        return out
+
+    assert {tuple(r) for r in T.vote(g.drop("stream_id"), i).collect()} == brute(False)
+    assert {tuple(r) for r in T.vote(g, i).collect()} == brute(True)
+    assert T.vote(g.limit(0), i).count() == T.vote(g, i.limit(0)).count() == 0
+
+
+def test_tokens(spark):
+    texts = ["It's  a\tTEST, of--words\n(x) yz!", " ÀB c\u00a0d e\u2003ff ", "", None, "'' -- ab"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.tokens(F.col("text")).alias("w"), T.ngrams(T.tokens(F.col("text"))).alias("g")).collect()
+    for r in rows:
+        if r.text is None:
+            assert r.w is None
+            continue
+        w = [x for x in (re.sub("[^a-z0-9']", "", p) for p in re.split(r"[ \t\n\x0b\f\r]+", r.text.lower())) if len(x) > 1]
+        assert r.w == w and r.g == [" ".join(w[k : k + 3]) for k in range(len(w) - 2)]
+
+
 def test_ncc_finds_the_true_lag(spark):
     x = np.random.default_rng(2).normal(size=(80, 8))
     f = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "frame long, v array<double>").select("frame", V.zscore(F.col("v")).alias("z"))
