@@ -213,6 +213,23 @@ def test_op4_keeps_short_texts_with_numbers(spark):
     assert d[0].kept and d[98].kept and d[98].word_chars >= 200 and not d[99].kept
 
 
+def test_op4_holds_references_of_every_label(spark):
+    rng = random.Random(7)
+    # 40 labels, one of them null; the last ones have the fewest words
+    labels = [None, *(f"l{i:02d}" for i in range(39))]
+    rows = [(f"{label}-{k}", english(rng)(500 + 2 * (40 - i)), label) for i, label in enumerate(labels) for k in range(4)]
+    salad = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(300))
+    bad = [(f"bad {label}", salad, label) for label in ("l00", "l38", None)]
+    docs = spark.createDataFrame([*rows, *bad, ("other", salad, "xx")], "doc_id string, text string, lang string")
+    refs = quality.references(docs)
+    assert {r.lang for r in refs} == set(labels)
+    got = {r.doc_id: r for r in quality.verdicts(docs).collect()}
+    assert {k for k, r in got.items() if not r.kept} == {k for k, _, _ in bad}
+    for k, text, _ in [*rows[::16], *bad]:
+        c, w = map(min, zip(*(distances_by_force(text, r) for r in refs), strict=True))
+        assert abs(got[k].class_distance - c) < 1e-9 and abs(got[k].word_distance - w) < 1e-9
+
+
 def test_op5(spark):
     def page(i, paras, title):
         ps = "".join(f"<p>{p}" for p in paras)
