@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch
+from .common import SPACE
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -100,25 +100,24 @@ def among(label: Column, labels: list) -> Column:
 
 def references(docs: DataFrame, *, text: str = "text", lang: str = "lang", top: int = 30, min_reference: int = 2000) -> list[Reference]:
     """The references of docs, that with most words first: one of each label that has min_reference words, of top words at most."""
-    scratch = Scratch(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
     symbols = F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", ""))
     d = docs.where(symbols <= MAX_SYMBOLS * F.length(t)).select(F.col(lang).alias("lang"), words(F.col(text)).alias("w"))
     counts = d.where(F.size("w") >= 10).select("lang", F.explode("w").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    counts = scratch.save(counts, "quality-words")
-    sums = counts.select("lang", "n", classes(F.col("word")).alias("c")).groupBy("lang").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))))
-    chosen = sums.where(F.col("n") >= min_reference).orderBy(F.desc("n"), "lang").collect()
-    folded = counts.where(among(F.col("lang"), [r["lang"] for r in chosen])).groupBy("lang", F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
+    sums = counts.select("lang", "n", classes(F.col("word")).alias("c")).groupBy("lang").agg(F.sum("n").alias("total"), *(F.sum(F.col("n") * F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))))
+    chosen = sums.where(F.col("total") >= min_reference).withColumnRenamed("lang", "label")
+    folded = counts.groupBy("lang", F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    best: dict = {}
-    for r in folded.withColumn("r", rank).where(F.col("r") <= top).orderBy("lang", "r").collect():  # top rows of each chosen label
-        best.setdefault(r["lang"], []).append((r["word"], r["n"]))
-    scratch.keep()
-    out = []
-    for r in chosen:
-        own, total = best.get(r["lang"], []), sum(r[f"c{i}"] for i in range(len(CLASSES))) or 1
-        out.append(Reference(r["lang"], [r[f"c{i}"] / total for i in range(len(CLASSES))], [w for w, _ in own], [c / r["n"] for _, c in own]))
-    return out
+    best = folded.withColumn("r", rank).where(F.col("r") <= top)
+    # One job: both sides read the shuffled counts, and nothing is written.  It returns top rows of each chosen label.
+    out: dict = {}
+    for r in chosen.join(best, F.col("label").eqNullSafe(F.col("lang")), "left").orderBy(F.desc("total"), "label", "r").collect():
+        n = sum(r[f"c{i}"] for i in range(len(CLASSES))) or 1
+        ref = out.setdefault(r["label"], Reference(r["label"], [r[f"c{i}"] / n for i in range(len(CLASSES))], [], []))
+        if r["word"] is not None:
+            ref.words.append(r["word"])
+            ref.shares.append(r["n"] / r["total"])
+    return list(out.values())
 
 
 def jsd(p: Column, q: Column) -> Column:

@@ -230,6 +230,16 @@ def test_op4_holds_references_of_every_label(spark):
         assert abs(got[k].class_distance - c) < 1e-9 and abs(got[k].word_distance - w) < 1e-9
 
 
+def test_op4_references_write_nothing(spark, monkeypatch):
+    def refuse(*a):
+        raise AssertionError("a folder was asked for")
+
+    monkeypatch.setattr("sparkpulse.llm.common.shared_dir", refuse)
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(i, english(rng)(600), lang) for i, lang in enumerate(["en"] * 4 + [None] * 5 + ["few"])], "doc_id long, text string, lang string")
+    assert [(r.lang, len(r.words)) for r in quality.references(docs)] == [(None, 30), ("en", 30)]
+
+
 def test_op5(spark):
     def page(i, paras, title):
         ps = "".join(f"<p>{p}" for p in paras)
