@@ -162,6 +162,19 @@ def test_ncc_in_blocks_equals_brute_force(spark):
     assert {(r.r, r.k) for r in rows} == {(r, -k) for r, (v, k) in best.items() if v >= 0.3}
 
 
+def test_ncc_rounds_as_spark_and_deals_cells_evenly(spark):
+    x = np.random.default_rng(8).integers(-2, 3, size=(400, 4)) / 4.0
+    x[7, 2] = np.nan
+    f = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "frame long, z array<double>")
+    plain = V._blocks(f, f, 5, 1, best=False, block=16)
+    got, want = ({(r.r, r.k): r.ncc for r in d.collect()} for d in (V._blocks(f, f, 5, 1, best=False, block=16, digits=3), plain.withColumn("ncc", F.round("ncc", 3))))
+    assert len(want) == (396 - 5) ** 2 and got == want
+    assert any(str(r.ncc)[-1] == "5" and len(str(r.ncc)) == 6 for r in plain.limit(5000).collect())  # halves are met
+    cells, height, breadth = V._spread(f, f, 5, 16)
+    rows = [r.n for r in cells.where("side = 0").groupBy(F.spark_partition_id()).agg(F.count_distinct("ct", "cs").alias("c"), F.count("*").alias("n")).where("c > 0").collect()]
+    assert len(rows) >= 13 * 13 and max(rows) <= height + 4 and height == breadth == 32
+
+
 def test_overlap_sums_equal_pairs(spark):
     rng = np.random.default_rng(5)
     rows = [("a" if i % 3 else "b", i, float(s), float(s + n)) for i, (s, n) in enumerate(zip(rng.integers(-50, 400, 200), rng.integers(0, 90, 200)))]
