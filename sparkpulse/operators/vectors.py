@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ from .series import KEY
 BLOCK = 256
 #: Cells of the grid that blocks are dealt to, on either side, and the most frames of a cell's side.
 GRID, MOST = 16, 32768
+#: Pairs of frames up to which all are compared at once; directions and cells along which equal windows look for near ones, how near
+#: they look, and the most different windows of a cell that are looked through.
+FEW, LINES, CELL, REACH, CROWD = 50_000_000, 6, 0.01, 0.001, 256
 
 
 def loudness(frames: DataFrame) -> DataFrame:
@@ -52,9 +56,72 @@ def ncc(template: DataFrame, stream: DataFrame, width: int, hop: int = 1, digits
     return _blocks(template, stream, width, hop, best=False, digits=digits)
 
 
-def ncc_best_lag(template: DataFrame, stream: DataFrame, width: int, hop: int = 1, least: float = 0.30) -> DataFrame:
-    """best_lag(ncc(...)), where only each block's best of a template window leaves it."""
-    return best_lag(_blocks(template, stream, width, hop, best=True, least=least), least)
+def ncc_best_lag(template: DataFrame, stream: DataFrame, width: int, hop: int = 1, least: float = 0.30, few: int = FEW) -> DataFrame:
+    """best_lag(ncc(...)).  Where there are more than ``few`` pairs of frames, windows that occur in the stream themselves are
+    looked up, if that is sure to be their best; only the others are held against every stream frame."""
+    n = [d.where("frame is not null").count() for d in (template, stream)]
+    if n[0] * n[1] <= few:
+        return best_lag(_blocks(template, stream, width, hop, best=True, least=least), least)
+    t, sure = _sure(template, stream, width, hop)
+    rest = t.select("r").join(sure.select("r"), "r", "left_anti")
+    need = rest.select(F.explode(F.sequence("r", F.col("r") + width - 1)).alias("frame")).distinct()
+    if need.isEmpty():
+        return best_lag(sure, least)
+    others = _blocks(template.join(need, "frame", "left_semi"), stream, width, hop, best=True, least=least)
+    return best_lag(sure.unionByName(others.join(rest, "r", "left_semi")), least)
+
+
+def _signatures(d: DataFrame, width: int, hop: int, size: int = 2048) -> DataFrame:
+    """Each whole window of frames: r, h (a hash of its vectors), n (its score with itself), p (its places along LINES directions
+    of length 1, when scores are products)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r0, _, z, _ in _cells(batches, size, size, width):
+            if not z.shape[1]:
+                continue
+            there, dim = np.isfinite(z).all(axis=1), z.shape[1]
+            z = np.where(there[:, None], z, 0.0) + 0.0
+            lines = np.random.default_rng(0).normal(size=(dim, width, LINES))
+            lines /= np.sqrt((lines**2).sum(axis=(0, 1))) * np.sqrt(dim * width)
+            along, own = (z @ lines.reshape(dim, -1)).reshape(len(z), width, LINES), (z * z).sum(axis=1) / (dim * width)
+            add = lambda f: sum(f(w) for w in range(width))
+            p, n = add(lambda w: along[w : w + size, w]), add(lambda w: own[w : w + size])
+            r = np.flatnonzero((add(lambda w: there[w : w + size].astype(int)) == width) & (np.arange(r0, r0 + size) % hop == 0))
+            each = [blake2b(row.tobytes(), digest_size=16).digest() for row in z]
+            h = pa.array([blake2b(b"".join(each[i : i + width]), digest_size=16).digest() for i in r], pa.binary())
+            places = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype="i4") * LINES), pa.array(p[r].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(r + r0), h, pa.array(n[r]), places], names=["r", "h", "n", "p"])
+
+    own = F.floor((F.col("frame") - (width - 1)) / size), F.floor(F.col("frame") / size)
+    d = d.where("frame is not null").select(F.explode(F.sequence(*own)).alias("ct"), F.lit(0).alias("cs"), F.lit(0).alias("side"), F.col("frame").cast("long").alias("frame"), F.col("z").cast("array<double>").alias("z"))
+    tasks = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return d.repartition(tasks, "ct").sortWithinPartitions("ct").mapInArrow(run, "r long, h binary, n double, p array<double>")
+
+
+def _sure(template: DataFrame, stream: DataFrame, width: int, hop: int) -> tuple[DataFrame, DataFrame]:
+    """The template's windows (_signatures), and r, k, ncc of those whose best lag is the first stream window equal to them.
+
+    With |a| and |b| for two windows' scores with themselves, |a - b| squared is |a| + |b| less twice their score.  So a window b
+    that scores as much as a with itself, at nine digits, is as near to a as |b| - |a| + 2e-9 allows, and nearer still along any
+    direction.  Cells of a grid over LINES directions find all windows that may be so near; where there is one, or where a cell
+    has more than CROWD different windows, nothing is sure."""
+    t, s = _signatures(template, width, hop), _signatures(stream, width, 1)
+    s = s.groupBy("h").agg(F.min("r").alias("k"), F.max("n").alias("m"), F.min("p").alias("q"))
+    most = F.broadcast(s.agg(F.max("m").alias("most")))
+    same = t.join(s.select("h", "k"), "h").crossJoin(most).where(F.col("most") - F.col("n") + 1e-8 <= REACH**2)
+    at = same.groupBy("h").agg(F.max("n").alias("n"), F.min("p").alias("p"))
+    for i in range(LINES):
+        p = F.get("p", F.lit(i))
+        at = at.withColumn(f"c{i}", F.explode(F.sequence(F.floor((p - REACH) / CELL), F.floor((p + REACH) / CELL))))
+    key = [f"c{i}" for i in range(LINES)]
+    at = at.select("h", "n", "p", F.xxhash64(*key).alias("cell"))
+    s = s.select(F.col("h").alias("h2"), "m", "q", F.xxhash64(*(F.floor(F.get("q", F.lit(i)) / CELL) for i in range(LINES))).alias("cell"))
+    full = s.groupBy("cell").agg(F.count("*").alias("here"))
+    crowded = at.join(full.where(F.col("here") > CROWD), "cell", "left_semi").select("h")
+    near = F.forall(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), lambda x: x <= F.greatest(F.col("m") - F.col("n"), F.lit(0.0)) + 1e-8)
+    close = at.join(s.join(full.where(F.col("here") <= CROWD), "cell", "left_semi"), "cell").where((F.col("h") != F.col("h2")) & near).select("h")
+    sure = same.join(crowded.unionByName(close), "h", "left_anti")
+    return t, sure.select("r", "k", F.col("n").alias("ncc"))
 
 
 def _rounded(x: np.ndarray, digits: int, spare: np.ndarray) -> np.ndarray:

@@ -175,6 +175,25 @@ def test_ncc_rounds_as_spark_and_deals_cells_evenly(spark):
     assert len(rows) >= 13 * 13 and max(rows) <= height + 4 and height == breadth == 32
 
 
+def test_best_lags_of_windows_in_the_stream_need_no_pairs(spark):
+    """Copies, near copies, constant and missing vectors; template and stream alike and not: as all pairs have it."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(260, 8))
+    x[100:130] = x[20:50]
+    x[150:180] = x[20:50] + rng.normal(size=(30, 8)) * 1e-7
+    x[200:215], x[230, 3] = 1.0, np.nan
+    frames = lambda y: spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(y)], "frame long, v array<double>").select("frame", V.zscore(F.col("v")).alias("z"))
+    f, g = frames(x).where("frame <> 77"), frames(np.concatenate([x[18:60], rng.normal(size=(30, 8)), x[195:220]]))
+    found = lambda d: {(r.r, r.k, round(r.ncc, 8)) for r in d.collect()}
+    for t, hop in ((f, 1), (g, 1), (g, 3)):
+        want = found(V.best_lag(V._blocks(t, f, 6, hop, best=True, block=32)))
+        assert found(V.ncc_best_lag(t, f, 6, hop, few=0)) == want and len(want) > 10
+        sure = found(V._sure(t, f, 6, hop)[1])
+        assert sure and sure <= want
+    t, sure = V._sure(f.where("frame between 0 and 19"), f, 6, 1)
+    assert t.count() == sure.count() == 15
+
+
 def test_overlap_sums_equal_pairs(spark):
     rng = np.random.default_rng(5)
     rows = [("a" if i % 3 else "b", i, float(s), float(s + n)) for i, (s, n) in enumerate(zip(rng.integers(-50, 400, 200), rng.integers(0, 90, 200)))]
