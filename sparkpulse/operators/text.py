@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +118,117 @@ def vote(grams: DataFrame, index: DataFrame, bin_seconds: float = 10.0) -> DataF
     return best.join(total, "window_id").select("window_id", KEY, "bin", "votes", "total", (F.col("votes") / F.col("total")).alias("confidence"), "x.*")
 
 
+#: Chunks of a stream up to which one task votes for its windows, and pairs of a gram and a chunk that it holds at once.
+MANY, PAIRS = 20_000, 4_000_000
+
+
+def align(ch: DataFrame, window: float = 30, hop: float = 5, least: float = 15, bin_seconds: float = 10.0, n: int = 3, many: int = MANY) -> DataFrame:
+    """vote() of each stream's speech windows() for its own chunks, not blank and with ends in order as chunks() has them: stream_id, t, votes, total,
+    confidence, chunk_start.
+
+    A stream's chunks go to one task, and no n-gram leaves it; those of streams with more than ``many`` chunks are joined."""
+    over = ch.groupBy(KEY).count().where(F.col("count") > many).select(KEY)
+    toks, trimmed = tokens(F.col("text")), F.trim("text")
+    d = ch.where(F.col(KEY).isNotNull() & F.col("start").isNotNull())
+    if over.isEmpty():
+        short, joined = d, None
+    else:
+        short, long = d.join(over, KEY, "left_anti"), d.join(over, KEY, "left_semi")
+        w = windows(long, window, hop, least).where(is_speech(F.col("text")))
+        grams = w.select(KEY, F.struct(KEY, "t").alias("window_id"), F.explode(ngrams(tokens(F.col("text")), n)).alias("ngram"))
+        index = ngram_index(long.withColumn("idx", F.row_number().over(Window.partitionBy(KEY).orderBy("start", "end", "text"))), n)
+        joined = vote(grams, index, bin_seconds).select(KEY, "window_id.t", "votes", "total", "confidence", "chunk_start")
+    edges = [trimmed.rlike(x).alias(f"e{i}") for i, x in enumerate((r"^\[", r"(?s)\]$", "^♪", "(?s)♪$"))]
+    short = short.select(KEY, "start", "end", "text", toks.alias("toks"), is_speech(F.col("text")).alias("speech"), *edges)
+
+    def run(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        table = table.sort_by([("start", "ascending"), ("end", "ascending"), ("text", "ascending")]).combine_chunks()
+        col = lambda c: table.column(c).to_numpy()
+        start, words = col("start"), table.column("toks").combine_chunks()
+        t, votes, total, at = _votes(start, col("end"), words, col("speech"), [col(f"e{i}") for i in range(4)], window, hop, least, bin_seconds, n)
+        return pa.table({KEY: pa.array([key[0].as_py()] * len(t), pa.string()), "t": t, "votes": votes, "total": total, "confidence": votes / total, "chunk_start": start[at]})
+
+    out = short.groupBy(KEY).applyInArrow(run, f"{KEY} string, t double, votes long, total long, confidence double, chunk_start double")
+    return out if joined is None else out.unionByName(joined)
+
+
+def _sums(keys: list[np.ndarray], size: list[int], values: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sums of values by keys below size, in the order of the keys."""
+    one = np.ravel_multi_index(keys, size) if len(values) else np.zeros(0, "i8")
+    one, back = np.unique(one, return_inverse=True)
+    return list(np.unravel_index(one, size)), np.bincount(back, values, len(one)).astype("i8")
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ranges [lo, hi), and what they hold, one after the other."""
+    n = np.maximum(hi - lo, 0)
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
+
+
+def _votes(start, end, words: pa.ListArray, speech, edges, window, hop, least, bin_seconds, n) -> tuple[np.ndarray, ...]:
+    """t, votes, total and the chunk of windows that any chunk shares n-grams with, of one stream's chunks in order."""
+    m, dur = len(start), end.max()
+    t = np.arange(max(0, int(np.ceil((dur - least) / hop)) - 1) + 1) * float(hop)
+    # A window's chunks are [lo, hi): each chunk ends where the next begins, only the last might end sooner.
+    lo, hi = np.searchsorted(end[:-1], t, "right"), np.searchsorted(start, np.minimum(t + window, dur), "left")
+    cut = (hi == m) & (end[-1] <= t)
+    first = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype("i8")
+    stop = np.where(cut, hi - 1, hi)
+    size = first[np.maximum(stop, lo)] - first[lo]
+    some = np.maximum(np.minimum(stop, m) - 1, 0), np.minimum(lo, m - 1)
+    said = (stop > lo) & (size >= 2) & ~(edges[0][some[1]] & edges[1][some[0]]) & ~(edges[2][some[1]] & edges[3][some[0]])
+    grams = np.maximum(size - n + 1, 0)
+    coded = words.flatten().dictionary_encode()
+    token, v = coded.indices.to_numpy(zero_copy_only=False).astype("i8"), max(1, len(coded.dictionary))
+    p = max(0, len(token) - n + 1)
+    if not p:
+        return (np.zeros(0), *(np.zeros(0, "i8") for _ in range(3)))
+    gram = token[:p].copy()
+    for j in range(1, n):
+        gram = np.unique(gram * v + token[j : j + p], return_inverse=True)[1]
+    owner = np.repeat(np.arange(m), np.diff(first))
+    a, b = owner[:p], owner[n - 1 : n - 1 + p]
+    here = (a == b) & speech[a]
+    kinds = int(gram.max()) + 1
+    (ig, ic), times = _sums([gram[here], a[here]], [kinds, m], np.ones(int(here.sum())))
+    at = np.searchsorted(ig, np.arange(kinds + 1))
+    load = np.concatenate([[0], np.cumsum(at[gram + 1] - at[gram])])
+    home, until = np.floor(start / bin_seconds).astype("i8"), int(np.searchsorted(t, end[-1], "left"))
+    home -= home.min() - 1
+    shift = np.floor(start / bin_seconds).astype("i8") - home
+    out, w0 = [], 0
+    while w0 < len(t):
+        # windows that together meet no more than PAIRS, or one window
+        begins = min(first[lo[w0]], p)
+        w1 = int(np.clip(np.searchsorted(load[np.minimum(first[np.maximum(hi, lo)], p)], load[begins] + PAIRS, "right"), w0 + 1, len(t)))
+        ends = min(int(first[max(hi[w1 - 1], lo[w1 - 1])]), p)
+        x = np.arange(begins, ends)
+        which, pair = _ranges(at[gram[x]], at[gram[x] + 1])
+        x = x[which]
+        (ka, kb, kc), c = _sums([a[x], b[x] - a[x], ic[pair]], [m, int((b - a).max()) + 1, m], times[pair])
+        kb += ka
+        from_, to = np.maximum(np.searchsorted(hi, kb, "right"), w0), np.minimum(np.searchsorted(lo, ka, "right"), w1)
+        to = np.where(kb == m - 1, np.minimum(to, until), to)
+        which, w = _ranges(from_, to)
+        (w, k), c = _sums([w - w0, kc[which]], [w1 - w0, m], c[which])
+        bins = int(home.max()) + 2
+        (bw, bb), votes = _sums([w, home[k]], [w1 - w0, bins], c)
+        best = np.lexsort((bb, -votes, bw))
+        best = best[np.unique(bw[best], return_index=True)[1]]
+        won, most = np.full(w1 - w0, -9), np.zeros(w1 - w0, "i8")
+        won[bw[best]], most[bw[best]] = bb[best], votes[best]
+        real = won[w] + shift[k]
+        near = (start[k] >= real * bin_seconds - bin_seconds / 2) & (start[k] <= (real + 1.5) * bin_seconds) & (won[w] >= 0)
+        w, k, c = w[near], k[near], c[near]
+        order = np.lexsort((k, -c, w))
+        w, pick = np.unique(w[order], return_index=True)
+        keep = said[w + w0]
+        out.append((t[w0 + w][keep], most[w][keep], grams[w0 + w][keep], k[order][pick][keep]))
+        w0 = w1
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def offset_clusters(m: DataFrame, *, max_shift: float, max_gap: float, least: int, least_cover: float = 0.0) -> DataFrame:
     """Matches (stream_id, start, end, offset) in runs whose offset and gap stay small: n, start, end, median offset."""
     w = Window.partitionBy(KEY).orderBy("start", "end")

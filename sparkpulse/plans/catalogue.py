@@ -472,12 +472,8 @@ nc AS (SELECT h.stream_id, h.t, h.s, b.votes, row_number() OVER (PARTITION BY h.
 ma AS (SELECT stream_id, CAST(t AS DOUBLE) AS s, CAST(t + 30 AS DOUBLE) AS e, CAST(s - t AS DOUBLE) AS o FROM nc JOIN tt USING (stream_id, t) WHERE r = 1 AND votes / total >= 0.05), """ + clusters_sql("ma", 45, 30, 2))
 def text_alignment(spark, d):
     """Sliding windows of each conversation voted against all chunks, then clustered by offset."""
-    c = T.chunks(cues(spark, d))
-    w = T.windows(c)
-    g = w.where(T.is_speech(F.col("text"))).select("stream_id", F.struct("stream_id", "t").alias("window_id"), F.explode(T.ngrams(T.tokens(F.col("text")))).alias("ngram"))
-    index = T.ngram_index(c.withColumn("idx", F.row_number().over(Window.partitionBy("stream_id").orderBy("start"))))
-    v = T.vote(g, index).where(F.col("confidence") >= 0.05)
-    m = v.select("stream_id", F.col("window_id.t").alias("start"), (F.col("window_id.t") + 30).alias("end"), (F.col("chunk_start") - F.col("window_id.t")).alias("offset"))
+    v = T.align(T.chunks(cues(spark, d))).where(F.col("confidence") >= 0.05)
+    m = v.select("stream_id", F.col("t").alias("start"), (F.col("t") + 30).alias("end"), (F.col("chunk_start") - F.col("t")).alias("offset"))
     return T.offset_clusters(m, max_shift=45, max_gap=30, least=2)
 
 

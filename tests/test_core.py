@@ -127,6 +127,31 @@ def test_vote_equals_brute_force(spark):
     assert T.vote(g.limit(0), i).count() == T.vote(g, i.limit(0)).count() == 0
 
 
+def test_align_equals_joined_votes(spark, monkeypatch):
+    """Streams long and short, repeated n-grams, texts without words and in brackets, null streams; in blocks of few pairs too."""
+    rng = random.Random(11)
+    words = ["so", "hot", "it's", "now", "a", "go"]
+    rows = []
+    for s, m in (("long", 90), ("mid", 12), ("one", 1), ("two", 2), (None, 3)):
+        for i in range(m):
+            text = " ".join(rng.choice(words) for _ in range(rng.choice([1, 1, 2, 5, 9])))
+            rows.append((s, i * 7.0, i * 7.0 + rng.choice([7.0, 7.0, 3.0]), rng.choice([text, text, f"[{text}]", f"♪ {text} ♪", "♪"])))
+    ch = spark.createDataFrame(rows, "stream_id string, start double, end double, text string")
+    names = ["stream_id", "t", "votes", "total", "confidence", "chunk_start"]
+    found = lambda d: sorted(tuple(r) for r in d.select(*names).collect())
+    want = found(T.align(ch, many=0))
+    assert len(want) > 60 and found(T.align(ch)) == want == found(T.align(ch, many=20))
+    monkeypatch.setattr(T, "PAIRS", 50)
+    mine = sorted((r for r in rows if r[0] == "long"), key=lambda r: r[1:])
+    toks = [[w for w in r[3].replace("♪", "").replace("[", "").replace("]", "").split() if len(w) > 1] for r in mine]
+    wrapped = lambda r, a, b: r[3][:1] == a and r[3][-1:] == b and len(r[3]) > 1
+    speech = np.array([len(x) > 1 and not wrapped(r, "[", "]") and not wrapped(r, "♪", "♪") for x, r in zip(toks, mine)])
+    edges = [np.array([r[3][i : i + 1 or None] == c for r in mine]) for i, c in ((0, "["), (-1, "]"), (0, "♪"), (-1, "♪"))]
+    start = np.array([r[1] for r in mine])
+    t, votes, total, at = T._votes(start, np.array([r[2] for r in mine]), T.pa.array(toks), speech, edges, 30, 5, 15, 10.0, 3)
+    assert sorted(zip(t, votes, total, start[at])) == [(r[1], r[2], r[3], r[5]) for r in want if r[0] == "long"]
+
+
 def test_tokens(spark):
     texts = ["It's  a\tTEST, of--words\n(x) yz!", " ÀB c\u00a0d e\u2003ff ", "", None, "'' -- ab"]
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.tokens(F.col("text")).alias("w"), T.ngrams(T.tokens(F.col("text"))).alias("g")).collect()
