@@ -45,21 +45,22 @@ def overlap_sums(left: DataFrame, right: DataFrame, width: float = 600.0) -> Dat
     """overlap() without making pairs, for many intervals that overlap many: right's total before a time t is the sum of t - start
     over its starts up to t less that of t - end over its ends, so ``covered`` is the total at end less that at start.
 
-    Sums run over time buckets of the given width first, then within a bucket.  Right's intervals without both ends or with an
-    end not above its start share nothing; nor do left's."""
-    r = right.where(F.col("end") > F.col("start"))
-    mark = lambda d, c, v: d.select(KEY, F.col(c).alias("at"), F.lit(v).alias("v"))
-    edges = mark(r, "start", 1.0).unionByName(mark(r, "end", -1.0)).withColumn("id", F.lit(None).cast(left.schema["id"].dataType)).withColumn("sign", F.lit(0.0))
-    a = left.where(F.col("end") > F.col("start")).select(KEY, "id", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(-1.0).alias("sign")), F.struct(F.col("end").alias("at"), F.lit(1.0).alias("sign")))).alias("x"))
-    d = edges.unionByName(a.select(KEY, "id", F.col("x.at").alias("at"), F.col("x.sign").alias("sign"), F.lit(0.0).alias("v"))).withColumn("__b", F.floor(F.col("at") / width))
+    Edges are summed up by time first, so windows hold a row per time and not per edge: over time buckets of the given width, then
+    within a bucket.  Each row of left looks its two times up.  Right's intervals without both ends or with an end not above its
+    start share nothing; nor do left's."""
+    both = lambda d, first, last: d.where(F.col("end") > F.col("start")).select(KEY, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(first).alias("v")), F.struct(F.col("end").alias("at"), F.lit(last).alias("v")))).alias("x")).select(KEY, "x.*")
+    d = both(right, 1.0, -1.0).unionByName(both(left, 0.0, 0.0)).groupBy(KEY, "at").agg(F.sum("v").alias("n"), F.sum(F.col("v") * F.col("at")).alias("s"))
+    d = d.withColumn("__b", F.floor(F.col("at") / width))
     before = Window.partitionBy(KEY).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = d.groupBy(KEY, "__b").agg(F.sum("v").alias("n"), F.sum(F.col("v") * F.col("at")).alias("s"))
+    sums = d.groupBy(KEY, "__b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     base = sums.select(KEY, "__b", F.coalesce(F.sum("n").over(before), F.lit(0.0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s0"))
-    within = Window.partitionBy(KEY, "__b").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    d = d.select(KEY, "__b", "id", "at", "sign", F.sum("v").over(within).alias("n1"), F.sum(F.col("v") * F.col("at")).over(within).alias("s1")).where("sign != 0")
+    within = Window.partitionBy(KEY, "__b").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select(KEY, "__b", "at", F.sum("n").over(within).alias("n1"), F.sum("s").over(within).alias("s1")).join(base, [KEY, "__b"])
     total = (F.col("n0") + F.col("n1")) * F.col("at") - F.col("s0") - F.col("s1")
-    got = d.join(base, [KEY, "__b"]).groupBy(KEY, "id").agg(F.sum(F.col("sign") * total).alias("covered"))
-    return left.join(got, [KEY, "id"], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+    look = lambda edge: d.select(KEY, F.col("at").alias(edge), total.alias(f"__{edge}"))
+    got = left.join(look("start"), [KEY, "start"], "left").join(look("end"), [KEY, "end"], "left")
+    covered = F.when(F.col("end") > F.col("start"), F.col("__end") - F.col("__start"))
+    return got.select(*left.columns, F.coalesce(covered, F.lit(0.0)).alias("covered"))
 
 
 def flags(points: DataFrame, iv: DataFrame, half: float = 5.0, width: float = 600.0) -> DataFrame:

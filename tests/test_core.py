@@ -227,6 +227,21 @@ def test_overlap_sums_equal_pairs(spark):
     assert got == {i: sum(max(0.0, min(e, f) - max(s, t)) for j, _, t, f in rows if j == k) for k, i, s, e in rows}
 
 
+def test_overlap_sums_have_a_window_row_per_time(spark):
+    """Many intervals on few times, with null and repeated ids; each row is looked up for itself."""
+    rng = np.random.default_rng(10)
+    rows = [("a", None if i % 5 == 0 else i // 2, float(s), float(s + n)) for i, (s, n) in enumerate(zip(rng.integers(0, 9, 400), rng.integers(-1, 4, 400)))] + [("a", 999, None, 3.0), (None, 1, 0.0, 5.0)]
+    d = spark.createDataFrame(rows, "stream_id string, id long, start double, end double")
+    whole = [r for r in rows if r[0] and r[2] is not None and r[3] > r[2]]
+    want = [(r, sum(max(0.0, min(r[3], f) - max(r[2], t)) for _, _, t, f in whole) if r in whole else 0.0) for r in rows]
+    key = lambda x: str(x)
+    out = I.overlap_sums(d, d, 4.0)
+    assert sorted((((r.stream_id, r.id, r.start, r.end), r.covered) for r in out.collect()), key=key) == sorted(want, key=key)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x.end() for x in re.finditer(r"Window \[", plan)]
+    assert windows and all("Aggregate [stream_id" in plan[x:] for x in windows)
+
+
 def test_queries_run_over_whole_tables(spark, tmp_path):
     import datetime
 
